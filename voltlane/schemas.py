@@ -42,3 +42,16 @@ OBSERVATION_COLUMNS = (
     "source_signal", "status", "confidence", "freshness_ttl_seconds", "temperature_bin",
     "is_temperature_estimated", "raw_payload_ref",
 )
+
+KPI_SNAPSHOT = (
+    "snapshot_id string, vehicle_uid string, kpi_key string, kpi_value double, kpi_unit string, "
+    "direction string, confidence_level string, sample_count bigint, temperature_bin string, "
+    "baseline_temperature_bin string, compare_temperature_bin string, computed_at timestamp_ntz, "
+    "valid_from timestamp_ntz, valid_to timestamp_ntz, source_job_id string, "
+    "ranking_type string, timeframe string"
+)
+RANKING_SNAPSHOT = (
+    "ranking_snapshot_id string, temperature_bin string, cohort_key string, cohort_size bigint, "
+    "sample_gate_passed boolean, vehicle_uid string, rank_position bigint, score double, "
+    "confidence_level string, computed_at timestamp_ntz, ranking_type string, timeframe string"
+)
