@@ -88,13 +88,13 @@ class Source:
         return drive_facts(self.filled(tokens, divisor), self.tf(tokens))
 
     def sessions(self):
-        return charging_sessions(self.obs(), self.session_events(), AS_OF)
+        return charging_sessions(self.obs(), self.session_events(), AS_OF, True)
 
     def tables(self):
         return Tables(self.vehicles(), self.obs(), self.session_events(), self.diagnostics())
 
     def results(self):
-        return recompute(self.tables(), AS_OF)
+        return recompute(self.tables(), AS_OF, real_storage=True)
 
 
 # ---- SQL: adapter ---------------------------------------------------------------------------
@@ -120,6 +120,10 @@ def clamp_sql(x: str, lo, hi) -> str:
     return f"CASE WHEN ({x}) IS NULL THEN NULL ELSE least(greatest({x}, {float(lo)}::DOUBLE), {float(hi)}::DOUBLE) END"
 
 
+def real_sql(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+
+
 CTES: dict[str, str] = {}
 
 
@@ -326,11 +330,11 @@ WHERE signal_key IN ('ev.soc_pct', 'ev.charge_power_kw', 'power.battery_power_kw
   'ev.battery_temp_c', 'ev.charger_type')"""
 CTES["sess"] = f"""
 SELECT w.vehicle_uid, w.session_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'partial' ELSE 'complete' END AS status,
-  {charger_sql("coalesce(label, 'unknown')")} AS charger_type, soc_start AS soc_start_pct, soc_end AS soc_end_pct,
-  soc_end - soc_start AS soc_delta_pct,
-  avg_kw * CASE WHEN ended_at > started_at THEN floor((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0) / 3600.0 ELSE 0 END AS energy_added_kwh,
-  avg_kw AS avg_charge_power_kw, peak_kw AS peak_charge_power_kw, amb AS ambient_temp_avg_c, bat AS battery_temp_avg_c,
-  {bin_sql('coalesce(amb, bat)')} AS temperature_bin, coalesce(n, 0) AS sample_count
+  {charger_sql("coalesce(label, 'unknown')")} AS charger_type, {real_sql('soc_start')} AS soc_start_pct, {real_sql('soc_end')} AS soc_end_pct,
+  {real_sql('soc_end - soc_start')} AS soc_delta_pct,
+  {real_sql("avg_kw * CASE WHEN ended_at > started_at THEN floor((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0) / 3600.0 ELSE 0 END")} AS energy_added_kwh,
+  {real_sql('avg_kw')} AS avg_charge_power_kw, {real_sql('peak_kw')} AS peak_charge_power_kw, {real_sql('amb')} AS ambient_temp_avg_c,
+  {real_sql('bat')} AS battery_temp_avg_c, {bin_sql('coalesce(amb, bat)')} AS temperature_bin, coalesce(n, 0) AS sample_count
 FROM win w LEFT JOIN (
   SELECT session_id, arg_min(value_number, observed_at) FILTER (WHERE signal_key = 'ev.soc_pct') AS soc_start,
     arg_max(value_number, observed_at) FILTER (WHERE signal_key = 'ev.soc_pct') AS soc_end,
@@ -372,9 +376,10 @@ LEFT JOIN (SELECT vehicle_uid, timeframe, arg_max(event_type, observed_at) AS mi
            WHERE event_type LIKE 'MIL%' GROUP BY ALL) m ON v.vehicle_uid = m.vehicle_uid AND t.timeframe = m.timeframe"""
 CTES["compk"] = f"""
 SELECT *, {clamp_sql('base - penalty', 0, 100)} AS score FROM (
-  SELECT vehicle_uid, timeframe, {clamp_sql('coalesce(0.6 * r.score + 0.4 * c.score, r.score, c.score)', 0, 100)} AS base,
+  SELECT vehicle_uid, timeframe, {clamp_sql('coalesce(0.6 * rs + 0.4 * cs, rs, cs)', 0, 100)} AS base,
     penalty, health_n, greatest(coalesce(r.n, 0), coalesce(c.all_n, 0), health_n) AS samples
-  FROM rngk r FULL JOIN chargek c USING (vehicle_uid, timeframe) JOIN pen USING (vehicle_uid, timeframe))"""
+  FROM (SELECT *, {real_sql('score')} AS rs FROM rngk) r
+  FULL JOIN (SELECT *, {real_sql('score')} AS cs FROM chargek) c USING (vehicle_uid, timeframe) JOIN pen USING (vehicle_uid, timeframe))"""
 
 
 def _kpi_sql(src: str, family: str, cells) -> str:
@@ -384,7 +389,7 @@ def _kpi_sql(src: str, family: str, cells) -> str:
     for key, value, n, unit, direction in cells:
         for b in bins:
             parts.append(
-                f"SELECT vehicle_uid, '{family}' AS ranking_type, timeframe, '{key}' AS kpi_key, CAST({value} AS DOUBLE) AS kpi_value, "
+                f"SELECT vehicle_uid, '{family}' AS ranking_type, timeframe, '{key}' AS kpi_key, {real_sql(value)} AS kpi_value, "
                 f"'{unit}' AS kpi_unit, '{direction}' AS direction, {confidence_sql(n)} AS confidence_level, "
                 f"CAST({n} AS BIGINT) AS sample_count, '{b}' AS temperature_bin, {base} AS baseline_temperature_bin, "
                 f"{comp} AS compare_temperature_bin FROM {src} WHERE {value} IS NOT NULL"
@@ -436,16 +441,16 @@ _SEED_SCORE = clamp_sql(
 )
 CTES["seeds"] = f"""
 SELECT *, {_SEED_SCORE} AS score, CASE WHEN sensitivity IS NULL THEN 'medium' ELSE 'stable' END AS confidence_level
-FROM (SELECT v.vehicle_uid, v.cohort_key, t.timeframe, t.kept AS range_retention, t.sensitivity, t.retention AS charge_retention
+FROM (SELECT v.vehicle_uid, v.cohort_key, t.timeframe, {real_sql('t.kept')} AS range_retention, {real_sql('t.sensitivity')} AS sensitivity, {real_sql('t.retention')} AS charge_retention
       FROM cat_veh v JOIN tempk t USING (vehicle_uid) WHERE t.kept IS NOT NULL AND t.retention IS NOT NULL)"""
 CTES["rank_plain"] = """
 SELECT ranking_type, timeframe, 'all' AS temperature_bin, cohort_key, count(*) OVER c AS cohort_size, count(*) OVER c >= 10 AS sample_gate_passed,
   vehicle_uid, row_number() OVER (PARTITION BY ranking_type, timeframe, cohort_key ORDER BY score DESC, vehicle_uid) AS rank_position,
-  score, confidence_level FROM scored WINDOW c AS (PARTITION BY ranking_type, timeframe, cohort_key)"""
+  CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, confidence_level FROM scored WINDOW c AS (PARTITION BY ranking_type, timeframe, cohort_key)"""
 CTES["rank_temp"] = """
 SELECT 'ev_temperature_impact' AS ranking_type, timeframe, b.bin AS temperature_bin, cohort_key, count(*) OVER c AS cohort_size, count(*) OVER c >= 10 AS sample_gate_passed,
   vehicle_uid, row_number() OVER (PARTITION BY b.bin, timeframe, cohort_key ORDER BY score DESC, vehicle_uid) AS rank_position,
-  score, confidence_level FROM seeds CROSS JOIN (VALUES ('all'), ('cold')) AS b(bin) WINDOW c AS (PARTITION BY b.bin, timeframe, cohort_key)"""
+  CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, confidence_level FROM seeds CROSS JOIN (VALUES ('all'), ('cold')) AS b(bin) WINDOW c AS (PARTITION BY b.bin, timeframe, cohort_key)"""
 CTES["ranks"] = "SELECT * FROM rank_plain UNION ALL SELECT * FROM rank_temp"
 
 

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from voltlane import constants as C
+from voltlane.config import IngestLimits
 from voltlane.functions import scalars as P
 from voltlane.operators import ingest as I
 from voltlane.operators.ordering import percentile_rank
+from voltlane.plans.recompute import table_stage
 from voltlane.session import work_folder
 from voltlane.sources import batches as B
 from voltlane.sources import sinks
@@ -21,6 +23,9 @@ FAULTS = {
 }
 
 
+LIMITS = IngestLimits(max_records=200)
+
+
 def raw_rows(s):
     """Raw telemetry rows (signals and session events) with the day's batch id."""
     day = F.date_format("observed_at", "yyyyMMdd")
@@ -64,9 +69,9 @@ FROM raws GROUP BY batch_id, vehicle_uid"""
 
 
 def faulty_uploads(s):
-    """Valid uploads (window widened to an hour more), each broken by the rule of its ``m``."""
+    """Valid uploads (window one second longer), each broken by the rule of its ``m``."""
     ups = uploads(s)
-    start, end = F.col("capture_window.started_at"), F.col("capture_window.ended_at") + F.expr("INTERVAL 1 HOUR")
+    start, end = F.col("capture_window.started_at"), F.col("capture_window.ended_at") + F.expr("INTERVAL 1 SECOND")
     late = end + F.expr("INTERVAL 1 SECOND")
     m = F.col("m")
     window = F.struct(
@@ -84,7 +89,7 @@ def faulty_uploads(s):
                  observed_at=F.when(m == 9, late).otherwise(start), session_id=F.lit("extra"))
     diag = F.struct(F.when(m == 10, late).otherwise(start).alias("observed_at"), (m % 2 == 0).alias("mil_on"),
                     F.array(F.lit("P0420"), F.lit("U0123")).alias("dtcs_active"))
-    many = F.array_repeat(record, 5001)
+    many = F.array_repeat(record, LIMITS.max_records + 1)
     empty = lambda c: F.array().cast(ups.schema[c].dataType)
     return ups.select(
         "batch_id", F.when(m == 1, "0.1").otherwise("0.2").alias("schema_version"), "vehicle_uid",
@@ -135,7 +140,7 @@ SELECT batch_id, vehicle_uid, t.event_type, t.code, started_at AS observed_at FR
 WHERE m IN (16, 17) AND t.event_type <> 'MIL'
 UNION ALL SELECT batch_id, vehicle_uid, CASE WHEN m = 16 THEN 'MIL_ON' ELSE 'MIL_OFF' END, NULL, started_at FROM ups WHERE m IN (16, 17)""")
 def explode_diagnostics(s):
-    ok = I.validate_batches(faulty_uploads(s)).where(F.col("rejection").isNull())
+    ok = I.validate_batches(faulty_uploads(s), LIMITS).where(F.col("rejection").isNull())
     return rounded(I.explode_diagnostics(ok).select("batch_id", "vehicle_uid", "event_type", "code", "observed_at"))
 
 
@@ -200,7 +205,7 @@ def batch_contents(s):
 # ---- I1-I13 -----------------------------------------------------------------------------------------------
 @register("i01_i13_validate_batches", f"SELECT batch_id, {FAULT_SQL} AS rejection FROM ups")
 def validate_batches(s):
-    return I.validate_batches(faulty_uploads(s)).select("batch_id", "rejection")
+    return I.validate_batches(faulty_uploads(s), LIMITS).select("batch_id", "rejection")
 
 
 def _rule(name, code):
@@ -208,7 +213,7 @@ def _rule(name, code):
 
     @register(name, f"SELECT batch_id, vehicle_uid FROM ups WHERE m = {number}")
     def query(s):
-        return I.validate_batches(faulty_uploads(s)).where(F.col("rejection") == code).select("batch_id", "vehicle_uid")
+        return I.validate_batches(faulty_uploads(s), LIMITS).where(F.col("rejection") == code).select("batch_id", "vehicle_uid")
 
 
 for i, code in enumerate(FAULTS.values(), 1):
@@ -257,7 +262,7 @@ def accept_batches(s):
         "received_at", F.when(stranger, F.col("received_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("received_at"))).withColumn(
         "arrival_id", F.concat("arrival_id", F.lit("/"), F.col("who").cast("string")))
     ledger = I.ledger_rows(uploads(s)).where(F.lit(False))
-    return I.accept_batches(both, ledger, s.access()).select("batch_id", F.col("who").cast("bigint").alias("who"), "outcome")
+    return I.accept_batches(both, ledger, s.access(), LIMITS, table_stage(s.spark)).select("batch_id", F.col("who").cast("bigint").alias("who"), "outcome")
 
 
 @register("i16_source_account", """

@@ -66,7 +66,7 @@ def _range_key(name, keys, src="kpi_range4", divisor=1):
 
     @register(name, f"SELECT {KPI_SQL} FROM {src} WHERE kpi_key IN ({listed})")
     def query(s):
-        rows = K.range_kpis(s.filled(tokens, divisor), AS_OF, s.tf(tokens))
+        rows = K.range_kpis(s.filled(tokens, divisor), AS_OF, s.tf(tokens), real_storage=True)
         return rounded(rows.where(F.col("kpi_key").isin(*keys)).select(*KPI_COLUMNS))
 
 
@@ -81,12 +81,12 @@ _range_key("k07_regeneration_ratio", ["regeneration_recovery_ratio"], "kpi_range
 
 @register("k08_range_kpi_rows", f"SELECT {KPI_SQL} FROM kpi_range")
 def range_rows(s):
-    return rounded(K.range_kpis(s.filled(), AS_OF, s.tf()).select(*KPI_COLUMNS))
+    return rounded(K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
 
 
 @register("k09_k10_k11_charging_kpis", f"SELECT {KPI_SQL} FROM kpi_charge")
 def charging_rows(s):
-    return rounded(K.charging_kpis(s.sessions(), AS_OF, s.tf()).select(*KPI_COLUMNS))
+    return rounded(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
 
 
 @register("k12_range_gate", """
@@ -98,7 +98,7 @@ def range_gate(s):
 
 @register("k13_k16_temperature_kpis", f"SELECT {KPI_SQL} FROM kpi_temp")
 def temperature_rows(s):
-    return rounded(K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf()).select(*KPI_COLUMNS))
+    return rounded(K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
 
 
 @register("h01_dtc_count", """
@@ -122,19 +122,19 @@ def health_penalty(s):
 
 
 @register("h04_latest_kpi", """
-SELECT vehicle_uid, timeframe, round(score, 6) AS value, n AS samples FROM rngk""")
+SELECT vehicle_uid, timeframe, round(CAST(score AS FLOAT)::DOUBLE, 6) AS value, n AS samples FROM rngk""")
 def latest_kpi(s):
-    rows = K.range_kpis(s.filled(), AS_OF, s.tf())
+    rows = K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True)
     return rounded(K.latest_kpi(rows, C.RANGE, "ev_range_efficiency_score"))
 
 
 def _base_kpis(s):
-    return K.range_kpis(s.filled(), AS_OF, s.tf()).unionByName(K.charging_kpis(s.sessions(), AS_OF, s.tf()))
+    return K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True).unionByName(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True))
 
 
 @register("k17_k19_composite_kpis", f"SELECT {KPI_SQL} FROM kpi_comp")
 def composite_rows(s):
-    rows = K.composite_kpis(_base_kpis(s), s.vehicles(), s.diagnostics(), AS_OF, s.tf())
+    rows = K.composite_kpis(_base_kpis(s), s.vehicles(), s.diagnostics(), AS_OF, s.tf(), real_storage=True)
     return rounded(rows.select(*KPI_COLUMNS))
 
 
@@ -146,7 +146,7 @@ def vehicle_catalog(s):
 
 def _history(s):
     """Charging KPI snapshots of two runs: an older one with shifted values, and the current one."""
-    now = K.charging_kpis(s.sessions(), AS_OF, s.tf())
+    now = K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
     older = now.where(F.col("kpi_key") != "charging_performance_score").withColumn(
         "computed_at", F.col("computed_at") - F.expr("INTERVAL 1 DAY")).withColumn("kpi_value", F.col("kpi_value") + 1.0)
     only_old = now.where((F.col("kpi_key") == "charging_performance_score") & (F.col("sample_count") < 2)).withColumn(
@@ -172,8 +172,8 @@ def score_vehicles(s):
 
 @register("g04_rank_cohorts", f"SELECT {RANK_SQL} FROM rank_plain WHERE ranking_type = 'ev_range_efficiency'")
 def rank_cohorts(s):
-    scored = R.score_vehicles(K.range_kpis(s.filled(), AS_OF, s.tf()), s.vehicles())
-    return rounded(R.rank_cohorts(scored, AS_OF).select(*RANK_COLUMNS))
+    scored = R.score_vehicles(K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True), s.vehicles())
+    return rounded(R.rank_cohorts(scored, AS_OF, real_storage=True).select(*RANK_COLUMNS))
 
 
 @register("g04_rank_orders_by_status", """
@@ -188,7 +188,7 @@ def rank_orders(s):
 
 
 def _temperature(s):
-    return K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf())
+    return K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf(), real_storage=True)
 
 
 @register("g05_temperature_seeds", """
@@ -200,11 +200,11 @@ def temperature_seeds(s):
 
 @register("g06_rank_temperature", f"SELECT {RANK_SQL} FROM rank_temp")
 def rank_temperature(s):
-    return rounded(R.rank_temperature(R.temperature_seeds(s.vehicles(), _temperature(s)), AS_OF).select(*RANK_COLUMNS))
+    return rounded(R.rank_temperature(R.temperature_seeds(s.vehicles(), _temperature(s)), AS_OF, real_storage=True).select(*RANK_COLUMNS))
 
 
 def _staged(s):
-    return P.recompute(s.tables(), AS_OF, stage=P.table_stage(s.spark))
+    return P.recompute(s.tables(), AS_OF, real_storage=True, stage=P.table_stage(s.spark))
 
 
 @register("g07_recompute_rankings", f"SELECT {RANK_SQL} FROM ranks")
@@ -238,7 +238,7 @@ SELECT {KPI_SQL} FROM (SELECT * REPLACE (kpi_value + 1 AS kpi_value) FROM kpi_ra
 def replace_kpis(s):
     """Charging rows written twice (second run wins), range rows of the first run stay."""
     path = work_folder(s.spark, "kpis") + "/kpi"
-    rng, chg = K.range_kpis(s.filled(), AS_OF, s.tf()), K.charging_kpis(s.sessions(), AS_OF, s.tf())
+    rng, chg = K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True), K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
     shifted = rng.unionByName(chg).withColumn("kpi_value", F.col("kpi_value") + 1.0)
     for family in (C.RANGE, C.CHARGING):
         sinks.replace_kpis(shifted, family, path)
@@ -252,7 +252,7 @@ WHERE ranking_type = 'ev_charging_performance')""")
 def replace_rankings(s):
     """All timeframes written shifted, then 30d and 90d replaced; 180d stays from the first write."""
     path = work_folder(s.spark, "rankings") + "/ranking"
-    ranked = R.rank_cohorts(R.score_vehicles(K.charging_kpis(s.sessions(), AS_OF, s.tf()), s.vehicles()), AS_OF)
+    ranked = R.rank_cohorts(R.score_vehicles(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True), s.vehicles()), AS_OF, real_storage=True)
     sinks.replace_rankings(ranked.withColumn("score", F.col("score") + 1.0), path)
     sinks.replace_rankings(ranked.where(F.col("timeframe") != "180d"), path)
     return rounded(sinks.read_rankings(s.spark, path).select(*RANK_COLUMNS))

@@ -132,14 +132,20 @@ def classify_ownership(batches: DataFrame, access: DataFrame) -> DataFrame:
 
 
 def accept_batches(
-    batches: DataFrame, ledger: DataFrame, access: DataFrame, limits: IngestLimits = IngestLimits()
+    batches: DataFrame, ledger: DataFrame, access: DataFrame, limits: IngestLimits = IngestLimits(), stage=None
 ) -> DataFrame:
     """Full decision per batch: ``outcome`` in rejected, forbidden, fresh, duplicate, conflict.
 
     Order: rules, then batch id, then owner. A forbidden upload stores nothing, so it
-    neither claims its batch id nor the vehicle.
+    neither claims its batch id nor the vehicle. Decisions are made on the few envelope
+    columns; the nested lists are joined once at the end, by arrival. ``stage(df, name)``
+    may write the checked envelopes once instead of evaluating the rules per branch.
     """
-    checked = validate_batches(batches, limits)
+    checked = validate_batches(batches, limits).select(
+        "batch_id", "arrival_id", "received_at", "user_id", "vehicle_uid", "schema_version", "source", "capture_window", "rejection"
+    )
+    if stage:
+        checked = stage(checked, "checked_envelopes")
     valid = checked.where(F.col("rejection").isNull())
     claims = classify_batches(valid, ledger).where(F.col("outcome") == "fresh")
     first = claims.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_u"))
@@ -153,20 +159,19 @@ def accept_batches(
     mine = classify_batches(owned.where("_mine").drop("_mine"), ledger)
     others = owned.where(~F.col("_mine")).drop("_mine")
     earlier = F.struct("_held.received_at", "_held.arrival_id") < F.struct("received_at", "arrival_id")
+    reference = F.coalesce("_known", F.when(earlier, F.col("_held.envelope")))
     held = (
         others.join(_first_per_batch(mine, "_held"), "batch_id", "left")
         .join(_ledger_envelopes(ledger), "batch_id", "left")
-        .withColumn("_ref", F.coalesce("_known", F.when(earlier, F.col("_held.envelope"))))
         .withColumn(
             "outcome",
-            F.when(F.col("_ref").isNull(), "forbidden")
-            .when(_batch_envelope() == F.col("_ref"), "duplicate")
-            .otherwise("conflict"),
+            F.when(reference.isNull(), "forbidden").when(_batch_envelope() == reference, "duplicate").otherwise("conflict"),
         )
-        .drop("_held", "_known", "_ref")
     )
     rejected = checked.where(F.col("rejection").isNotNull()).withColumn("outcome", F.lit("rejected"))
-    return mine.unionByName(held).unionByName(rejected)
+    columns = ["arrival_id", "rejection", "outcome"]
+    decisions = mine.select(*columns).unionByName(held.select(*columns)).unionByName(rejected.select(*columns))
+    return batches.join(decisions, "arrival_id")
 
 
 # ---- row tables --------------------------------------------------------------------------------------
@@ -392,4 +397,4 @@ def batches_to_json(batches: DataFrame) -> DataFrame:
     """Envelopes as JSON text, the inverse of ``parse_batches``."""
     fields = ["batch_id", "schema_version", "vehicle_uid", "source", "client", "capture_window", "records", "session_events", "diagnostics"]
     rest = [c for c in batches.columns if c not in fields]
-    return batches.select(*rest, F.to_json(F.struct(*fields)).alias("payload"))
+    return batches.select(*rest, F.to_json(F.struct(*fields), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("payload"))

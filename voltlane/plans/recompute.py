@@ -102,10 +102,14 @@ def recompute(
 
 def run_summary(sess: DataFrame, kpis: DataFrame, ranks: DataFrame, vehicle: DataFrame) -> DataFrame:
     """Row counts of a run in one row; each input is reduced to its count first."""
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return (
-        total(sess, "charging_sessions_upserted")
-        .crossJoin(total(kpis, "kpi_rows_upserted"))
-        .crossJoin(total(ranks, "ranking_rows_upserted"))
-        .crossJoin(total(vehicle, "recomputed_vehicles"))
-    )
+    parts = {
+        "charging_sessions_upserted": sess,
+        "kpi_rows_upserted": kpis,
+        "ranking_rows_upserted": ranks,
+        "recomputed_vehicles": vehicle,
+    }
+    counts = None
+    for name, df in parts.items():
+        one = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])
