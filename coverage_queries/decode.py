@@ -123,6 +123,8 @@ def readiness(s):
 SELECT DISTINCT pack_id, pid FROM (
   SELECT pack_id, b + 1 AS pid FROM exch, range(0, 8) t(b) WHERE turn = 6 AND (k >> (7 - b)) & 1 = 1
   UNION ALL SELECT pack_id, 24 + b + 1 FROM exch, range(0, 8) t(b) WHERE turn = 6 AND (k >> (7 - b)) & 1 = 1
+  -- 0x41 0x00 inside the mask reads as one more frame
+  UNION ALL SELECT pack_id, p.pid FROM exch, (VALUES (18), (24)) AS p(pid) WHERE turn = 6 AND k = 65
   UNION ALL SELECT pack_id, 64 + b + 1 FROM exch, range(0, 8) t(b) WHERE turn = 7 AND (k >> (7 - b)) & 1 = 1
   UNION ALL SELECT pack_id, 64 + 24 + b + 1 FROM exch, range(0, 8) t(b) WHERE turn = 7 AND ((99 - k) >> (7 - b)) & 1 = 1)""")
 def supported(s):

@@ -32,10 +32,13 @@ def _arrival_id():
 
 
 def stream_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream of arriving files, with user and receipt columns when present."""
+    """The same as a stream of arriving JSON-lines files, with user and receipt columns.
+
+    Single uploads get their ``arrival_id`` in the micro-batch (see ``streaming.ingest``).
+    """
     fields = f"{schemas.BATCH}, user_id string, received_at timestamp"
     raw = spark.readStream.schema(fields).json(path)
-    return _empty_arrays(raw.withColumn("arrival_id", _arrival_id()))
+    return _empty_arrays(raw.withColumn("source_file", F.col("_metadata.file_path")))
 
 
 def parse_batches(df: DataFrame, text: str = "payload") -> DataFrame:
