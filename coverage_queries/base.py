@@ -11,7 +11,7 @@ from voltlane.functions.scalars import timeframes
 from voltlane.operators.kpis import drive_facts, drive_medians
 from voltlane.operators.series import drive_steps
 from voltlane.operators.sessions import charging_sessions
-from voltlane.plans.recompute import Tables, recompute
+from voltlane.plans.recompute import Tables, recompute, table_stage
 from voltlane.sources import events_adapter as A
 
 AS_OF = A.AS_OF
@@ -81,6 +81,10 @@ class Source:
     def filled(self, tokens=None, divisor=1):
         return drive_steps(self.obs(divisor), self.tf(tokens))
 
+    def steps(self, tokens=None, divisor=1):
+        """Drive steps written once: both the medians and the totals of a KPI read them."""
+        return table_stage(self.spark)(self.filled(tokens, divisor), "drive_steps")
+
     def medians(self, tokens=None, divisor=1):
         return drive_medians(self.filled(tokens, divisor), self.tf(tokens))
 

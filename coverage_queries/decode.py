@@ -8,7 +8,7 @@ from voltlane.operators import decode as X
 from voltlane.operators.ordering import running_totals
 from voltlane.operators.series import time_bucket
 from voltlane.sources import batches as B
-from voltlane.sources.events_adapter import raw_response
+from voltlane.sources.events_adapter import RUN_BUCKET_SECONDS, raw_response
 
 from .base import CTES, RAW_RESPONSE, register, rounded
 from .ingest import raw_rows
@@ -20,7 +20,7 @@ COMMANDS = ["010D", "0142", "ATRV", "0146", "0101", "03", "0100", "0140", "010D"
 def exchange_rows(s):
     """Clicks as command exchanges, ten commands in turn per user, split into packs."""
     e = running_totals(
-        s.events().where(F.col("event_type") == "click"), ["user_id"], time_bucket(F.col("ts"), 6 * 3600), ["ts", "event_id"], {"nth": F.lit(1)})
+        s.events().where(F.col("event_type") == "click"), ["user_id"], time_bucket(F.col("ts"), RUN_BUCKET_SECONDS), ["ts", "event_id"], {"nth": F.lit(1)})
     k = F.col("k")
     index = (F.col("nth") - 1) % PACK
     turn = index % 10

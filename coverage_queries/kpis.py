@@ -66,7 +66,7 @@ def _range_key(name, keys, src="kpi_range4", divisor=1):
 
     @register(name, f"SELECT {KPI_SQL} FROM {src} WHERE kpi_key IN ({listed})")
     def query(s):
-        rows = K.range_kpis(s.filled(tokens, divisor), AS_OF, s.tf(tokens), real_storage=True)
+        rows = K.range_kpis(s.steps(tokens, divisor), AS_OF, s.tf(tokens), real_storage=True)
         return rounded(rows.where(F.col("kpi_key").isin(*keys)).select(*KPI_COLUMNS))
 
 
@@ -81,7 +81,7 @@ _range_key("k07_regeneration_ratio", ["regeneration_recovery_ratio"], "kpi_range
 
 @register("k08_range_kpi_rows", f"SELECT {KPI_SQL} FROM kpi_range")
 def range_rows(s):
-    return rounded(K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
+    return rounded(K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
 
 
 @register("k09_k10_k11_charging_kpis", f"SELECT {KPI_SQL} FROM kpi_charge")
@@ -98,7 +98,7 @@ def range_gate(s):
 
 @register("k13_k16_temperature_kpis", f"SELECT {KPI_SQL} FROM kpi_temp")
 def temperature_rows(s):
-    return rounded(K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
+    return rounded(K.temperature_kpis(s.steps(), s.sessions(), AS_OF, s.tf(), real_storage=True).select(*KPI_COLUMNS))
 
 
 @register("h01_dtc_count", """
@@ -124,12 +124,12 @@ def health_penalty(s):
 @register("h04_latest_kpi", """
 SELECT vehicle_uid, timeframe, round(CAST(score AS FLOAT)::DOUBLE, 6) AS value, n AS samples FROM rngk""")
 def latest_kpi(s):
-    rows = K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True)
+    rows = K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True)
     return rounded(K.latest_kpi(rows, C.RANGE, "ev_range_efficiency_score"))
 
 
 def _base_kpis(s):
-    return K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True).unionByName(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True))
+    return K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True).unionByName(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True))
 
 
 @register("k17_k19_composite_kpis", f"SELECT {KPI_SQL} FROM kpi_comp")
@@ -172,7 +172,7 @@ def score_vehicles(s):
 
 @register("g04_rank_cohorts", f"SELECT {RANK_SQL} FROM rank_plain WHERE ranking_type = 'ev_range_efficiency'")
 def rank_cohorts(s):
-    scored = R.score_vehicles(K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True), s.vehicles())
+    scored = R.score_vehicles(K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True), s.vehicles())
     return rounded(R.rank_cohorts(scored, AS_OF, real_storage=True).select(*RANK_COLUMNS))
 
 
@@ -188,7 +188,7 @@ def rank_orders(s):
 
 
 def _temperature(s):
-    return K.temperature_kpis(s.filled(), s.sessions(), AS_OF, s.tf(), real_storage=True)
+    return K.temperature_kpis(s.steps(), s.sessions(), AS_OF, s.tf(), real_storage=True)
 
 
 @register("g05_temperature_seeds", """
@@ -238,7 +238,7 @@ SELECT {KPI_SQL} FROM (SELECT * REPLACE (kpi_value + 1 AS kpi_value) FROM kpi_ra
 def replace_kpis(s):
     """Charging rows written twice (second run wins), range rows of the first run stay."""
     path = work_folder(s.spark, "kpis") + "/kpi"
-    rng, chg = K.range_kpis(s.filled(), AS_OF, s.tf(), real_storage=True), K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
+    rng, chg = K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True), K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
     shifted = rng.unionByName(chg).withColumn("kpi_value", F.col("kpi_value") + 1.0)
     for family in (C.RANGE, C.CHARGING):
         sinks.replace_kpis(shifted, family, path)

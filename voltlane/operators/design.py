@@ -11,6 +11,7 @@ from .. import constants as C
 from ..functions.scalars import clamp, confidence, instant, year_band
 from .ordering import exact_median
 from .rankings import vehicle_catalog
+from .skew import join_counted
 
 
 def cohort_fallback(vehicle: DataFrame, minimum: int = C.COHORT_GATE, preferred: int = C.COHORT_PREFERRED) -> DataFrame:
@@ -28,15 +29,18 @@ def cohort_fallback(vehicle: DataFrame, minimum: int = C.COHORT_GATE, preferred:
         3: F.concat_ws("|", power, make, model),
         4: power,
     }
+    names = [f"_k{i}" for i in keys]
     rows = vehicle.select("vehicle_uid", *[k.alias(f"_k{i}") for i, k in keys.items()])
-    for i in keys:
-        sizes = rows.groupBy(f"_k{i}").agg(F.count(F.lit(1)).alias(f"_n{i}"))
-        rows = rows.join(sizes, f"_k{i}")
+    cohorts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n1"))
+    for i in (2, 3, 4):  # sums over cohorts, not over vehicles
+        larger = cohorts.groupBy(f"_k{i}").agg(F.sum("_n1").alias(f"_n{i}"))
+        cohorts = cohorts.join(larger, f"_k{i}")
     level = lambda i: F.struct(
         F.lit(i).cast("bigint").alias("level"), F.col(f"_k{i}").alias("cohort_key"), F.col(f"_n{i}").alias("cohort_size")
     )
     chosen = F.coalesce(*[F.when(F.col(f"_n{i}") >= minimum, level(i)) for i in keys], level(4))
-    return rows.select("vehicle_uid", chosen.alias("c")).select(
+    facts = cohorts.select("_k1", "_n1", chosen.alias("c"))
+    return join_counted(rows.select("vehicle_uid", "_k1"), facts, ["_k1"], "_n1").select(
         "vehicle_uid", "c.*", (F.col("c.cohort_size") < preferred).alias("low_confidence")
     )
 
@@ -53,10 +57,12 @@ def source_precedence(obs: DataFrame) -> DataFrame:
         (F.col("source") == preferred).cast("int").alias("p"), F.col("observed_at"),
         F.coalesce("confidence", F.lit(-1.0)).alias("c"), F.col("observation_id"),
     )
-    best = obs.groupBy("vehicle_uid", "signal_key").agg(F.max(order)["observation_id"].alias("_best"))
-    return obs.join(best, ["vehicle_uid", "signal_key"]).withColumn(
+    best = obs.groupBy("vehicle_uid", "signal_key").agg(
+        F.max(order)["observation_id"].alias("_best"), F.count(F.lit(1)).alias("_n")
+    )
+    return join_counted(obs, best, ["vehicle_uid", "signal_key"], "_n").withColumn(
         "is_winner", F.col("observation_id") == F.col("_best")
-    ).drop("_best")
+    ).drop("_best", "_n")
 
 
 def with_freshness(obs: DataFrame, as_of: datetime) -> DataFrame:
@@ -93,8 +99,8 @@ def charge_acceptance(sess: DataFrame) -> DataFrame:
     rows = sess.where(
         (F.col("avg_charge_power_kw") > 0) & F.col("soc_start_pct").isNotNull() & F.col("temperature_bin").isNotNull()
     ).select("vehicle_uid", "session_id", band.alias("soc_band"), "temperature_bin", "charger_type", "avg_charge_power_kw")
-    expected = exact_median(rows, bins, "avg_charge_power_kw").withColumnRenamed("median", "expected_kw").drop("n")
-    ratios = rows.join(expected, bins).withColumn("ratio", F.col("avg_charge_power_kw") / F.col("expected_kw"))
+    expected = exact_median(rows, bins, "avg_charge_power_kw").withColumnRenamed("median", "expected_kw")
+    ratios = join_counted(rows, expected, bins, "n").withColumn("ratio", F.col("avg_charge_power_kw") / F.col("expected_kw"))
     return exact_median(ratios, ["vehicle_uid"], "ratio").select(
         "vehicle_uid", clamp(F.lit(100.0) * F.col("median"), 0, 100).alias("acceptance_score"), F.col("n").alias("sessions")
     )

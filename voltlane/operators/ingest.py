@@ -13,6 +13,7 @@ from .. import constants as C
 from ..config import IngestLimits
 from ..functions.scalars import map_session_event, temperature_bin, whole_seconds_between
 from ..functions.sizes import broadcast_if_small
+from ..session import table_stage
 
 
 # ---- batch rules (first failing rule names the rejection) ------------------------------------
@@ -101,13 +102,12 @@ def classify_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
     """Adds ``outcome``: fresh, duplicate (same five envelope fields) or conflict.
 
     The first arrival of an id that is not in the ledger is fresh; later ones are compared
-    with it. The first arrival comes from a partial aggregate, so many replays of one id
-    are never gathered, and the join back is one row per id that Spark can split for skew.
+    with it. The first arrival comes from a partial aggregate; id facts are brought
+    together first, so the uploads take a single join, which Spark splits for skew.
     Needs ``received_at`` and ``arrival_id`` (unique per upload, set by the reader).
     """
-    joined = batches.join(_first_per_batch(batches, "_first"), "batch_id").join(
-        _ledger_envelopes(ledger), "batch_id", "left"
-    )
+    facts = _first_per_batch(batches, "_first").join(_ledger_envelopes(ledger), "batch_id", "left")
+    joined = batches.join(facts, "batch_id")
     same = _batch_envelope() == F.coalesce("_known", "_first.envelope")
     outcome = (
         F.when(F.col("_known").isNull() & (F.col("arrival_id") == F.col("_first.arrival_id")), "fresh")
@@ -119,15 +119,16 @@ def classify_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def classify_ownership(batches: DataFrame, access: DataFrame) -> DataFrame:
     """Adds ``owner`` and ``owned``: the known owner, else the first user to upload."""
-    first = batches.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_u"))
-    owners = access.groupBy("vehicle_uid").agg(F.min("user_id").alias("_owner"))
-    owner = F.coalesce("_owner", "_u.user_id")
-    return (
-        batches.join(first, "vehicle_uid")
-        .join(owners, "vehicle_uid", "left")
-        .withColumn("owner", owner)
-        .withColumn("owned", owner == F.col("user_id"))
-        .drop("_u", "_owner")
+    joined = batches.join(_owners(batches, access), "vehicle_uid")
+    return joined.withColumn("owned", F.col("owner") == F.col("user_id"))
+
+
+def _owners(claims: DataFrame, access: DataFrame) -> DataFrame:
+    """(vehicle_uid, owner): the known owner, else the user of the first claim."""
+    first = claims.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_u"))
+    known = access.groupBy("vehicle_uid").agg(F.min("user_id").alias("_owner"))
+    return first.join(known, "vehicle_uid", "full").select(
+        "vehicle_uid", F.coalesce("_owner", "_u.user_id").alias("owner")
     )
 
 
@@ -138,39 +139,34 @@ def accept_batches(
 
     Order: rules, then batch id, then owner. A forbidden upload stores nothing, so it
     neither claims its batch id nor the vehicle. Decisions are made on the few envelope
-    columns; the nested lists are joined once at the end, by arrival. ``stage(df, name)``
-    may write the checked envelopes once instead of evaluating the rules per branch.
+    columns; the nested lists are joined once at the end, by arrival. Each step is written
+    by ``stage`` (default: :func:`table_stage`), so no rule or join is evaluated twice and
+    the skewed joins stand alone.
     """
-    checked = validate_batches(batches, limits).select(
-        "batch_id", "arrival_id", "received_at", "user_id", "vehicle_uid", "schema_version", "source", "capture_window", "rejection"
-    )
-    if stage:
-        checked = stage(checked, "checked_envelopes")
+    stage = stage or table_stage(batches.sparkSession)
+    envelope = ["batch_id", "arrival_id", "received_at", "user_id", "vehicle_uid", "schema_version", "source", "capture_window"]
+    checked = stage(validate_batches(batches, limits).select(*envelope, "rejection"), "checked_envelopes")
     valid = checked.where(F.col("rejection").isNull())
-    claims = classify_batches(valid, ledger).where(F.col("outcome") == "fresh")
-    first = claims.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_u"))
-    owners = access.groupBy("vehicle_uid").agg(F.min("user_id").alias("_owner"))
-    owned = (
-        valid.join(first, "vehicle_uid", "left")
-        .join(owners, "vehicle_uid", "left")
-        .withColumn("_mine", F.coalesce(F.col("user_id") == F.coalesce("_owner", "_u.user_id"), F.lit(False)))
-        .drop("_u", "_owner")
-    )
-    mine = classify_batches(owned.where("_mine").drop("_mine"), ledger)
-    others = owned.where(~F.col("_mine")).drop("_mine")
+    claims = stage(classify_batches(valid, ledger).where(F.col("outcome") == "fresh"), "claims")
+    mine = F.coalesce(F.col("user_id") == F.col("owner"), F.lit(False))
+    owned = stage(valid.join(_owners(claims, access), "vehicle_uid", "left").select(*envelope, mine.alias("mine")), "owned_envelopes")
+    accepted = stage(classify_batches(owned.where("mine"), ledger).select(*envelope, "outcome"), "classified_envelopes")
+
+    others = owned.where(~F.col("mine"))
+    facts = _first_per_batch(accepted, "_held").join(_ledger_envelopes(ledger), "batch_id", "full")
     earlier = F.struct("_held.received_at", "_held.arrival_id") < F.struct("received_at", "arrival_id")
     reference = F.coalesce("_known", F.when(earlier, F.col("_held.envelope")))
-    held = (
-        others.join(_first_per_batch(mine, "_held"), "batch_id", "left")
-        .join(_ledger_envelopes(ledger), "batch_id", "left")
-        .withColumn(
-            "outcome",
-            F.when(reference.isNull(), "forbidden").when(_batch_envelope() == reference, "duplicate").otherwise("conflict"),
-        )
+    held = others.join(facts, "batch_id", "left").withColumn(
+        "outcome",
+        F.when(reference.isNull(), "forbidden").when(_batch_envelope() == reference, "duplicate").otherwise("conflict"),
+    )
+    rejected = checked.where(F.col("rejection").isNotNull())
+    none = F.lit(None).cast("string").alias("rejection")
+    decisions = (
+        accepted.select("arrival_id", none, "outcome")
+        .unionByName(held.select("arrival_id", none, "outcome"))
+        .unionByName(rejected.select("arrival_id", "rejection", F.lit("rejected").alias("outcome")))
     )
-    rejected = checked.where(F.col("rejection").isNotNull()).withColumn("outcome", F.lit("rejected"))
-    columns = ["arrival_id", "rejection", "outcome"]
-    decisions = mine.select(*columns).unionByName(held.select(*columns)).unionByName(rejected.select(*columns))
     return batches.join(decisions, "arrival_id")
 
 
@@ -373,6 +369,8 @@ def raw_rows_to_batches(rows: DataFrame, max_records: int = 5_000, app: str = "f
     grouped = (
         rows.join(sizes, ["batch_id", "vehicle_uid"])
         .withColumn("_part", part)
+        # own shuffle by part: the join above may then be split where one id is large
+        .repartition("batch_id", "vehicle_uid", "_part")
         .groupBy("batch_id", "vehicle_uid", "_part")
         .agg(
             F.min("observed_at").alias("started_at"), F.max("observed_at").alias("ended_at"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
+from .skew import join_counted
 
 # Buckets per e-fold of magnitude. Values up to 1e6 give about 57,000 buckets per key.
 RESOLUTION = 4096
@@ -173,7 +174,7 @@ def distributed_rank(
 
 
 def at_or_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per distinct (keys, value): how many rows of the key are <= value, < value, and in all."""
+    """Per distinct (keys, value): rows of the key that are <=, < and = value, and in all."""
     keys = list(keys)
     fine = (
         df.withColumn("_b", value_bucket(F.col(value)))
@@ -198,7 +199,7 @@ def at_or_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             *keys, value,
             (F.col("_under") + F.col("_in")).alias("n_at_or_below"),
             (F.col("_under") + F.col("_in") - F.col("_n")).alias("n_below"),
-            "n_all",
+            F.col("_n").alias("n_equal"), "n_all",
         )
     )
 
@@ -214,8 +215,8 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: s
         F.col("n_all") - F.col("n_below")
     )
     return (
-        df.join(counts, [*keys, value])
+        join_counted(df, counts, [*keys, value], "n_equal")
         .withColumn("percentile", F.round(share / F.col("n_all") * 100.0).cast("bigint"))
         .withColumnRenamed("n_all", "cohort_values")
-        .drop("n_at_or_below", "n_below")
+        .drop("n_at_or_below", "n_below", "n_equal")
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -16,7 +16,7 @@ from ..operators import kpis as K
 from ..operators import rankings as R
 from ..operators.series import drive_steps
 from ..operators.sessions import charging_sessions
-from ..session import work_folder
+from ..session import table_stage  # noqa: F401  (re-exported)
 
 
 @dataclass
@@ -40,21 +40,6 @@ class Results:
         return run_summary(self.sessions, self.kpis, self.rankings, self.vehicle)
 
 
-def table_stage(spark: SparkSession, folder: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
-    """Materialise a stage as a parquet table in the shared folder and read it back.
-
-    Cuts lineage: a lost executor re-reads the table instead of recomputing earlier stages.
-    """
-    root = folder or work_folder(spark, "recompute")
-
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        path = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    return stage
-
-
 def recompute(
     tables: Tables,
     as_of: datetime,

@@ -23,7 +23,7 @@ from ..operators.ordering import running_totals
 from ..operators.series import time_bucket
 
 AS_OF = datetime(2024, 2, 3)
-RUN_BUCKET_SECONDS = 6 * 3600
+RUN_BUCKET_SECONDS = 900
 ORIGIN = "2024-01-01 00:00:00"
 
 
