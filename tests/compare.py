@@ -1,10 +1,11 @@
 """Run registered queries beside their SQL in DuckDB and report differences.
 
-    python -m tests.compare [sf_dir] [name-part ...]
+    python -m tests.compare [sf_dir] [name-pattern ...]
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import time
 from collections import Counter
@@ -69,7 +70,7 @@ def main(argv):
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
-        if parts and not any(p in name for p in parts):
+        if parts and not any(re.match(p, name) for p in parts):
             continue
         start = time.time()
         try:

@@ -20,6 +20,8 @@ def local_session(cores: str = "8", name: str = "voltlane") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # small test tables: keep all cores busy after adaptive coalescing
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.parquet.enableVectorizedReader", "true")
