@@ -190,3 +190,29 @@ def test_drive_series_equals_a_sequential_pass_per_timeframe(spark):
             assert f.regen_wh == pytest.approx(want["regen"]) and f.traction_wh == pytest.approx(want["traction"])
             assert f.latest_soc == (pytest.approx(want["latest_soc"]) if want["latest_soc"] is not None else None)
     assert checked > 200
+
+
+@pytest.mark.parametrize("share", [3, 100, 10_000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_counted_join_equals_a_plain_join(spark, monkeypatch, share, how):
+    from voltlane.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(hot(random.Random(7), 900))], "k string, i int")
+    facts = big.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m")).where(F.col("k") != "k3")
+    rows = lambda df: sorted(map(str, df.select("k", "i", "n", "m").collect()))
+    assert rows(skew.join_counted(big, facts, ["k"], "n", how)) == rows(big.join(facts, "k", how))
+
+
+def test_pushdown_reaches_the_scan(spark, tmp_path):
+    rows = readings(random.Random(8), 50)
+    obs = spark.createDataFrame(rows, "observation_id string, vehicle_uid string, signal_key string, value_number double, "
+                                      "observed_at timestamp, ingested_at timestamp").withColumn("unused", F.lit("x"))
+    obs.write.parquet(str(tmp_path / "obs"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = S.drive_steps(spark.read.parquet(str(tmp_path / "obs")), timeframes(AS_OF))._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans
+    for scan in scans:
+        assert "GreaterThanOrEqual(observed_at" in scan and "In(signal_key" in scan and "unused" not in scan
