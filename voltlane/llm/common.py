@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Queries and their SQL by name, filled by `register`.
@@ -83,3 +84,9 @@ class Stages:
         if "://" not in path and not path.startswith("file:"):
             os.makedirs(path, exist_ok=True)
         return path
+
+
+def with_fields(df: DataFrame, keep: Iterable[str], **fields: str) -> T.StructType:
+    """Schema of the columns `keep` of `df` and of further fields, given as name=type."""
+    kept = [f for f in df.schema.fields if f.name in set(keep)]
+    return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
