@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from voltlane.llm.common import col, fresh, register, table, with_fields
+from voltlane.llm.common import col, fresh, register, slices, table, with_fields
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of a segment; longer texts are cut.
@@ -174,7 +174,7 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
 
     def short(batches):
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, text)):
             encoded = [c.encode(t) if t else np.zeros(0, np.uint32) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, id_lists(encoded)], names=[*batch.schema.names, ids])
 
@@ -190,7 +190,7 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
 
     def leaf(batches):
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 3)):
             encoded = [c.encode(t) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], id_lists(encoded)], names=[key, part, continued, ids])
 
@@ -222,8 +222,8 @@ def decode_ids(df: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULA
 
     def decode(batches):
         c = codec(vocabulary)
-        for batch in batches:
-            texts = [c.decode(i) if i else "" for i in batch.column(ids).to_pylist()]
+        for batch in (piece for whole in batches for piece in slices(whole, ids, 1_000_000)):
+            texts = [c.decode(i.values.tolist()) if i.is_valid else "" for i in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(texts, pa.string())], names=[*keep, decoded])
 
     return df.mapInArrow(decode, schema), decoded

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,3 +93,15 @@ def with_fields(df: DataFrame, keep: Iterable[str], **fields: str) -> T.StructTy
     """Schema of the columns `keep` of `df` and of further fields, given as name=type."""
     kept = [f for f in df.schema.fields if f.name in set(keep)]
     return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
+
+
+def slices(batch: pa.RecordBatch, column: int | str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in pieces whose values of a string or list column hold about `limit` bytes or items."""
+    values = batch.column(column)
+    ends = np.cumsum(pc.fill_null((pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length)(values), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right"))
+        last = max(last, first + 1)
+        yield batch.slice(first, last - first)
+        first = last
