@@ -4,6 +4,6 @@ import importlib
 
 from voltlane.llm.common import QUERIES, SQL  # noqa: F401
 
-OPERATORS = ("quality_rules", "bpe")
+OPERATORS = ("quality_rules", "mixing", "bpe", "token_counts")
 for _name in OPERATORS:
     importlib.import_module(f"voltlane.llm.{_name}")
