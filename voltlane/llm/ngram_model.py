@@ -35,7 +35,7 @@ from voltlane.llm.words import Chunk, chunks
 #: Hash of the end token; words get it by chance only.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of training text for each part of the vocabulary and of the pairs; tokens that a task adds up at once.
-PART_BYTES, HELD_TOKENS = 48_000_000, 3_000_000
+PART_BYTES, HELD_TOKENS = 32_000_000, 3_000_000
 CHUNK = 4_000_000
 
 
@@ -212,7 +212,7 @@ def train(documents: DataFrame, text: str = "text", stages: Stages | None = None
             save(folder, f"count-{p}", small(counts))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["part", "words", "tokens"])
 
-    dealt = texts.mapInArrow(count_words, PACKED).repartition(parts, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(count_words, PACKED).repartitionById(parts, col("part")).sortWithinPartitions("part")
     written = {r.part: r for r in stages(dealt.mapInArrow(write_words, "part int, words bigint, tokens bigint"), "words").collect()}  # a row for each part
     for p in set(range(parts)) - set(written):
         save(folder, f"word-{p}", np.zeros(0, np.uint64))
@@ -278,7 +278,7 @@ def train(documents: DataFrame, text: str = "text", stages: Stages | None = None
                  *(pa.array(list(v), pa.int64()) for v in zip(*rows, strict=True))], names=[*batch.schema.names, "pairs", "n1", "n2", "n3", "n4", "hot"],
             )
 
-    dealt = texts.mapInArrow(count_pairs, PACKED).repartition(pair_parts, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(count_pairs, PACKED).repartitionById(pair_parts, col("part")).sortWithinPartitions("part")
     facts = stages(dealt.mapInArrow(write_pairs, f"{PACKED}, pairs bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, hot bigint"), "pairs")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "n1", "n2", "n3", "n4")]
     total = facts.where("part < 0 and hot < 0").agg(*sums, F.count("*").alias("n")).first()
@@ -292,7 +292,7 @@ def train(documents: DataFrame, text: str = "text", stages: Stages | None = None
             save(folder, f"types-{p}", small(dense))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([int((dense == k).sum())], pa.int64()) for k in (1, 2, 3, 4)), pa.array([int((dense > 2).sum())], pa.int64())], names=["part", "n1", "n2", "n3", "n4", "more"])
 
-    dealt = facts.where("part >= 0").select("part", "keys", "counts", "kind").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = facts.where("part >= 0").select("part", "keys", "counts", "kind").repartitionById(parts, col("part")).sortWithinPartitions("part")
     low = stages(dealt.mapInArrow(write_types, "part int, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint"), "types").collect()  # a row for each part
     d_low = discounts([sum(r[f"n{k}"] for r in low) for k in (1, 2, 3, 4)])
     rest = (d_low[0] * sum(r.n1 for r in low) + d_low[1] * sum(r.n2 for r in low) + d_low[2] * sum(r.more for r in low)) / total.pairs if total.pairs else 1.0
