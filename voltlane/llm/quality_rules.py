@@ -135,9 +135,10 @@ def with_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     own = {k: col(result[k]) for k in base}
     verdict = compile_rules(rules, _measures(body, lower, col(lines), own["n_words"], own["word_chars"], own["n_symbols"], own["n_dup_lines"]))
     failed = (own["n_words"] < 10) | (own["n_repeat_words"] * 100 > own["n_words"] * 20)
-    return step.select(
-        *here, *own.values(), failed.alias(result["base_failed"]), F.when(failed, False).otherwise(verdict).alias(result["kept"]),
-    ), result
+    # The one row of a generator: a filter on its columns stays above it. Pushed down, the filter would repeat the whole
+    # chain of projections inside one expression, once for every use of every step.
+    verdicts = F.struct(*[c.alias(result[k]) for k, c in own.items()], failed.alias(result["base_failed"]), F.when(failed, False).otherwise(verdict).alias(result["kept"]))
+    return step.select(*here, F.inline(F.array(verdicts))), result
 
 
 def keep_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
