@@ -184,15 +184,19 @@ def registry(s):
 
 
 @register("s14_raw_rows_to_batches", """
-SELECT batch_id, vehicle_uid, started_at, ended_at, n_records, n_events,
-  list_aggregate(recs, 'string_agg', ',') AS signal_order
-FROM ups LEFT JOIN (SELECT batch_id, list(signal_key ORDER BY observed_at DESC, observation_id DESC) AS recs
-  FROM raws WHERE NOT signal_key LIKE 'session.%' GROUP BY ALL) USING (batch_id)""")
+SELECT batch_id, part, ups.vehicle_uid, started_at, ended_at, p.n_records, p.n_events, signal_order
+FROM ups JOIN (
+  SELECT batch_id, vehicle_uid, part, count(*) FILTER (WHERE NOT is_event) AS n_records, count(*) FILTER (WHERE is_event) AS n_events,
+    string_agg(CASE WHEN NOT is_event THEN signal_key END, ',' ORDER BY n) AS signal_order
+  FROM (SELECT batch_id, vehicle_uid, signal_key, signal_key LIKE 'session.%' AS is_event,
+      row_number() OVER (PARTITION BY batch_id, vehicle_uid ORDER BY observed_at DESC, observation_id DESC) AS n, (n - 1) // 3 AS part FROM raws)
+  GROUP BY ALL) AS p USING (batch_id, vehicle_uid)""")
 def rebuild(s):
-    ups = I.raw_rows_to_batches(raw_rows(s))
+    """Parts of three rows, so that most batches come in several."""
+    ups = I.raw_rows_to_batches(raw_rows(s), max_records=3)
     order = F.when(F.size("records") > 0, F.array_join(F.col("records.signal_key"), ","))
     return rounded(ups.select(
-        "batch_id", "vehicle_uid", F.col("capture_window.started_at").alias("started_at"), F.col("capture_window.ended_at").alias("ended_at"),
+        "batch_id", F.col("part").cast("bigint").alias("part"), "vehicle_uid", F.col("capture_window.started_at").alias("started_at"), F.col("capture_window.ended_at").alias("ended_at"),
         F.size("records").cast("bigint").alias("n_records"), F.size("session_events").cast("bigint").alias("n_events"), order.alias("signal_order")))
 
 
@@ -208,6 +212,31 @@ def validate_batches(s):
     return I.validate_batches(faulty_uploads(s), LIMITS).select("batch_id", "rejection")
 
 
+def broken(s):
+    """Valid uploads of which each lacks a required field, chosen by its ``m``; every thirteenth and the rest are whole."""
+    ups, window = uploads(s), F.col("capture_window")
+    lose = lambda n, whole: F.when(F.col("m") % 13 == n, F.lit(None)).otherwise(whole)
+    without = lambda name, n, f: F.when(
+        (F.col("m") % 13 == n) & (F.size(name) > 0), F.transform(name, lambda x: x.withField(f, F.lit(None).cast("string" if f != "observed_at" else "timestamp")))
+    ).otherwise(F.col(name))
+    ups = ups.withColumn("records", without("records", 5, "observed_at")).withColumn("records", without("records", 6, "signal_key"))
+    ups = ups.withColumn("records", without("records", 7, "status")).withColumn("session_events", without("session_events", 8, "event_type"))
+    ups = ups.withColumn("session_events", without("session_events", 9, "observed_at"))
+    return ups.withColumns({
+        "schema_version": lose(1, F.col("schema_version")), "source": lose(2, F.col("source")),
+        "capture_window": F.struct(
+            lose(3, window["started_at"]).alias("started_at"), lose(4, window["ended_at"]).alias("ended_at"), window["sample_interval_seconds"].alias("sample_interval_seconds"),
+        ),
+    })
+
+
+@register("i00_malformed", """
+SELECT batch_id, ups.vehicle_uid, m % 13 IN (1, 2, 3, 4) OR m % 13 IN (5, 6, 7) AND n_records > 0 OR m % 13 IN (8, 9) AND n_events > 0 AS malformed FROM ups""")
+def malformed(s):
+    judged = I.validate_batches(broken(s), LIMITS)
+    return judged.select("batch_id", "vehicle_uid", F.coalesce(F.col("rejection") == "malformed", F.lit(False)).alias("malformed"))
+
+
 def _rule(name, code):
     number = {v: k for k, v in FAULTS.items()}[code]
 

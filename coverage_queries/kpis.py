@@ -241,20 +241,21 @@ def replace_kpis(s):
     rng, chg = K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True), K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
     shifted = rng.unionByName(chg).withColumn("kpi_value", F.col("kpi_value") + 1.0)
     for family in (C.RANGE, C.CHARGING):
-        sinks.replace_kpis(shifted, family, path)
+        sinks.replace_kpis(shifted.where(F.col("ranking_type") == family), family, path)
     sinks.replace_kpis(chg, C.CHARGING, path)
     return rounded(sinks.read_kpis(s.spark, path).select(*KPI_COLUMNS))
 
 
 @register("s10_replace_rankings", f"""
 SELECT {RANK_SQL} FROM (SELECT * REPLACE (CASE WHEN timeframe = '180d' THEN score + 1 ELSE score END AS score) FROM rank_plain
-WHERE ranking_type = 'ev_charging_performance')""")
+WHERE ranking_type = 'ev_charging_performance' AND timeframe <> '30d')""")
 def replace_rankings(s):
-    """All timeframes written shifted, then 30d and 90d replaced; 180d stays from the first write."""
+    """All timeframes written shifted, then all but 180d replaced, then 30d emptied; 180d stays from the first write."""
     path = work_folder(s.spark, "rankings") + "/ranking"
     ranked = R.rank_cohorts(R.score_vehicles(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True), s.vehicles()), AS_OF, real_storage=True)
     sinks.replace_rankings(ranked.withColumn("score", F.col("score") + 1.0), path)
     sinks.replace_rankings(ranked.where(F.col("timeframe") != "180d"), path)
+    sinks.replace_rankings(ranked.where(F.lit(False)), path, [C.CHARGING], ["30d"])
     return rounded(sinks.read_rankings(s.spark, path).select(*RANK_COLUMNS))
 
 

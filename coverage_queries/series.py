@@ -41,9 +41,9 @@ def _labelled(df, s, tokens=ALL_TOKENS, since="since"):
 
 @register("d04_complete_deltas", """
 SELECT timeframe, vehicle_uid, observed_at, round(delta_km, 6) AS delta_km, round(delta_soc, 6) AS delta_soc
-FROM delta4 WHERE delta_km <> 0 OR delta_soc <> 0""")
+FROM delta4""")
 def complete_deltas(s):
-    deltas = S.complete_deltas(s.filled(ALL_TOKENS)).where((F.col("delta_km") != 0) | (F.col("delta_soc") != 0))
+    deltas = S.complete_deltas(s.filled(ALL_TOKENS))
     return rounded(_labelled(deltas, s).select("timeframe", "vehicle_uid", "observed_at", "delta_km", "delta_soc"))
 
 

@@ -125,5 +125,5 @@ def test_charging_reads_reject_other_bins(results):
 
 def test_unlocked_key_fails_the_write(results):
     bad = results.kpis.where(F.col("ranking_type") == "ev_composite").withColumn("kpi_key", F.lit("made_up"))
-    with pytest.raises(Exception, match="not locked"):
+    with pytest.raises(Exception, match="has no key"):
         check_kpi_rows(bad, "ev_composite").collect()

@@ -71,11 +71,20 @@ def raw(spark, n):
         F.lit(None).cast("boolean").alias("value_bool"), F.lit(None).cast("string").alias("value_json"), F.lit("r").alias("raw_payload_ref"))
 
 
-def test_rebuilt_batches_keep_every_row_and_stay_small(spark):
-    built = I.raw_rows_to_batches(raw(spark, 30_000))
-    rows = built.select("batch_id", F.size("records").alias("n")).collect()
-    assert sum(r.n for r in rows) == 30_000 and max(r.n for r in rows) <= 5_000
-    assert len({r.batch_id for r in rows}) == len(rows) and {r.batch_id.split("#")[0] for r in rows} == {"b", I.NO_BATCH}
+def test_rebuilt_batches_are_the_same_in_parts_of_any_size(spark):
+    rows = raw(spark, 3_000)
+
+    def joined(most):
+        parts = I.raw_rows_to_batches(rows, max_records=most).collect()
+        assert max(len(r.records) for r in parts) <= most
+        whole = {}
+        for r in sorted(parts, key=lambda r: r.part):
+            assert r.part == len(whole.get(r.batch_id, [])) // most
+            whole.setdefault(r.batch_id, []).extend((x.observed_at, x.value_number) for x in r.records)
+        return whole, {(r.batch_id, r.capture_window) for r in parts}
+
+    assert joined(70) == joined(5_000)
+    assert {k: len(v) for k, v in joined(5_000)[0].items()} == {"b": 2_000, I.NO_BATCH: 1_000}
 
 
 def test_json_round_trip(spark):

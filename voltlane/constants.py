@@ -149,3 +149,12 @@ SCHEMA_VERSION = "0.2"
 COHORT_GATE = 10
 COHORT_PREFERRED = 30
 SOURCE_JOB = "internal_recompute"
+
+# Messages of record receipts, part of the output.
+RECEIPT_MESSAGES = {
+    "unknown_signal_key": "signal_key not present in active v0.2 registry",
+    "invalid_status": "invalid status enum",
+    "invalid_confidence": "confidence must be between 0 and 1",
+    "invalid_value_fields": "only one of value_number/value_string/value_bool/value_json is allowed",
+    "missing_value": "status ok/stale requires one value field",
+}

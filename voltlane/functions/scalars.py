@@ -56,8 +56,8 @@ def charger_type(c: Column) -> Column:
 
 
 def parse_ts(c: Column) -> Column:
-    """RFC 3339 text to an instant; anything else gives null."""
-    text = F.upper(F.trim(c))
+    """RFC 3339 text to an instant; anything else, text with blanks around it included, gives null."""
+    text = F.upper(c)
     shape = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     return F.when(text.rlike(shape), F.try_to_timestamp(text))
 
@@ -86,7 +86,7 @@ class Timeframe(tuple):
 def timeframes(as_of: datetime, tokens=C.LOCKED_TIMEFRAMES) -> list[Timeframe]:
     unknown = [t for t in tokens if t not in C.TIMEFRAME_DAYS]
     if unknown:
-        raise ValueError(f"unsupported timeframe: {unknown[0]}")
+        raise ValueError(f"no timeframe is named {unknown[0]}")
     return [Timeframe((t, as_of - timedelta(days=C.TIMEFRAME_DAYS[t]))) for t in tokens]
 
 

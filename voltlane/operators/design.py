@@ -48,8 +48,12 @@ def cohort_fallback(vehicle: DataFrame, minimum: int = C.COHORT_GATE, preferred:
 def source_precedence(obs: DataFrame) -> DataFrame:
     """Adds ``is_winner``: per (vehicle, signal) by source priority, then newest, then confidence.
 
-    Losing readings are kept. The winner is a partial aggregate joined back by key.
+    Losing readings are kept. The winner is a partial aggregate joined back by key. A
+    reading without vehicle or signal competes with none: ``is_winner`` is null.
     """
+    keyless = F.col("vehicle_uid").isNull() | F.col("signal_key").isNull()
+    aside = obs.where(keyless).withColumn("is_winner", F.lit(None).cast("boolean"))
+    obs = obs.where(~keyless)
     cloud_first = F.col("signal_key").isin(list(C.SMARTCAR_FIRST_SIGNALS))
     first, second = C.SOURCE_PRIORITY["smartcar_over_obd"]
     preferred = F.when(cloud_first, first).otherwise(second)
@@ -62,7 +66,7 @@ def source_precedence(obs: DataFrame) -> DataFrame:
     )
     return join_counted(obs, best, ["vehicle_uid", "signal_key"], "_n").withColumn(
         "is_winner", F.col("observation_id") == F.col("_best")
-    ).drop("_best", "_n")
+    ).drop("_best", "_n").unionByName(aside)
 
 
 def with_freshness(obs: DataFrame, as_of: datetime) -> DataFrame:

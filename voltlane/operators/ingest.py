@@ -6,6 +6,8 @@ against earlier state (ledger, owners) join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from ..config import IngestLimits
 from ..functions.scalars import map_session_event, temperature_bin, whole_seconds_between
 from ..functions.sizes import broadcast_if_small
 from ..session import table_stage
+from .ordering import running_totals
+
+
+def _any_null(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, [c.isNull() for c in columns])
 
 
 # ---- batch rules (first failing rule names the rejection) ------------------------------------
@@ -39,7 +46,16 @@ def batch_rule_codes(limits: IngestLimits = IngestLimits()) -> list[tuple[str, C
     # within a list the first bad element decides, as the elements are checked in order
     first_event = F.get(F.filter(F.transform("session_events", event_code), lambda c: c.isNotNull()), F.lit(0))
     first_record = F.get(F.filter(F.transform("records", record_code), lambda c: c.isNotNull()), F.lit(0))
+    lacks = lambda item, *fields: F.coalesce(item.isNull() | _any_null([item[f] for f in fields]), F.lit(True))
+    listed = lambda name, *fields: F.exists(name, lambda x: lacks(x, *fields))
+    malformed = _any_null([F.col(c) for c in ("batch_id", "vehicle_uid", "schema_version", "source")] + [start, end])
+    for bad in (
+        listed("records", "observed_at", "signal_key", "status"), listed("session_events", "event_type", "observed_at"),
+        listed("diagnostics", "observed_at"),
+    ):
+        malformed = malformed | F.coalesce(bad, F.lit(False))
     return [
+        ("malformed", malformed),
         ("source", F.upper("source") != "OBD"),
         ("schema_version", F.col("schema_version") != C.SCHEMA_VERSION),
         ("window_order", end <= start),
@@ -147,8 +163,23 @@ def accept_batches(
     envelope = ["batch_id", "arrival_id", "received_at", "user_id", "vehicle_uid", "schema_version", "source", "capture_window"]
     checked = stage(validate_batches(batches, limits).select(*envelope, "rejection"), "checked_envelopes")
     valid = checked.where(F.col("rejection").isNull())
-    claims = stage(classify_batches(valid, ledger).where(F.col("outcome") == "fresh"), "claims")
     mine = F.coalesce(F.col("user_id") == F.col("owner"), F.lit(False))
+    # A forbidden upload claims nothing, and who may upload depends on the claims. Each round leaves out the claims of
+    # uploads that the round before found forbidden; decisions settle in the order of arrival, a chain a round.
+    round_, able = 0, valid.join(access.groupBy("vehicle_uid").agg(F.min("user_id").alias("owner")), "vehicle_uid", "left")
+    able = stage(able.where(mine | F.col("owner").isNull()).drop("owner"), "able_0")
+    barred = None
+    while True:
+        round_ += 1
+        claimants = able if barred is None else able.join(barred, "arrival_id", "left_anti")
+        claims = stage(classify_batches(claimants, ledger).where(F.col("outcome") == "fresh"), f"claims_{round_}")
+        first = claims.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_f"))
+        late = F.struct("_f.received_at", "_f.arrival_id") < F.struct("received_at", "arrival_id")
+        now = stage(able.join(first, "vehicle_uid").where((F.col("_f.user_id") != F.col("user_id")) & late).select("arrival_id"), f"barred_{round_}")
+        settled = now.isEmpty() if barred is None else now.join(barred, "arrival_id", "left_anti").isEmpty() and barred.join(now, "arrival_id", "left_anti").isEmpty()
+        barred = now
+        if settled:
+            break
     owned = stage(valid.join(_owners(claims, access), "vehicle_uid", "left").select(*envelope, mine.alias("mine")), "owned_envelopes")
     accepted = stage(classify_batches(owned.where("mine"), ledger).select(*envelope, "outcome"), "classified_envelopes")
 
@@ -191,11 +222,11 @@ def validate_records(records: DataFrame, registry: DataFrame) -> DataFrame:
     )
     status, confidence = F.col("status"), F.col("confidence")
     rules = [
-        ("unknown_signal_key", F.col("_known").isNull(), "signal_key not present in active v0.2 registry"),
-        ("invalid_status", ~F.coalesce(status.isin(list(C.STATUSES)), F.lit(False)), "invalid status enum"),
-        ("invalid_confidence", confidence.isNotNull() & ~confidence.between(0.0, 1.0), "confidence must be between 0 and 1"),
-        ("invalid_value_fields", values > 1, "only one of value_number/value_string/value_bool/value_json is allowed"),
-        ("missing_value", status.isin(list(C.STATUSES_WITH_VALUE)) & (values == 0), "status ok/stale requires one value field"),
+        ("unknown_signal_key", F.col("_known").isNull(), C.RECEIPT_MESSAGES["unknown_signal_key"]),
+        ("invalid_status", ~F.coalesce(status.isin(list(C.STATUSES)), F.lit(False)), C.RECEIPT_MESSAGES["invalid_status"]),
+        ("invalid_confidence", confidence.isNotNull() & ~confidence.between(0.0, 1.0), C.RECEIPT_MESSAGES["invalid_confidence"]),
+        ("invalid_value_fields", values > 1, C.RECEIPT_MESSAGES["invalid_value_fields"]),
+        ("missing_value", status.isin(list(C.STATUSES_WITH_VALUE)) & (values == 0), C.RECEIPT_MESSAGES["missing_value"]),
     ]
     code = F.coalesce(*[F.when(bad, F.lit(c)) for c, bad, _ in rules])
     message = F.coalesce(*[F.when(F.col("error_code") == c, F.lit(m)) for c, _, m in rules])
@@ -350,13 +381,15 @@ def raw_rows_to_batches(rows: DataFrame, max_records: int = 5_000, app: str = "f
     """Upload batches rebuilt from raw telemetry rows (signals and ``session.*`` rows).
 
     One batch per ``batch_id``; rows are newest first, the window spans their instants. A
-    batch id with more rows than a batch may hold is spread by hash over several batches
-    (``id``, ``id#1``, ...), so no list grows without bound; no row is dropped.
+    batch comes in parts of ``max_records`` rows, at any size: ``part`` counts them from
+    the newest, so the lists of the parts, in order, are those of the batch. Ids and
+    windows are the same in all parts, and no list grows without bound.
     """
+    keys = ["batch_id", "vehicle_uid"]
     rows = rows.withColumn("batch_id", F.coalesce("batch_id", F.lit(NO_BATCH)))
-    sizes = rows.groupBy("batch_id", "vehicle_uid").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.when(F.col("_n") <= max_records, F.lit(1)).otherwise(F.ceil(F.col("_n") / (max_records / 2.0)))
-    part = F.pmod(F.xxhash64("observation_id"), parts.cast("bigint"))
+    order = [F.desc("observed_at"), F.desc("observation_id")]
+    hour = -F.floor(F.unix_timestamp(F.col("observed_at").cast("timestamp")) / 3600)
+    numbered = running_totals(rows, keys, hour, order, {"_position": F.lit(1)})
     is_event = F.col("signal_key").startswith("session.")
     null = lambda kind: F.lit(None).cast(kind)
     record = F.struct(
@@ -367,23 +400,18 @@ def raw_rows_to_batches(rows: DataFrame, max_records: int = 5_000, app: str = "f
     event = F.struct(F.col("status").alias("event_type"), "observed_at", "session_id", "raw_payload_ref")
     newest = lambda item: F.struct("observed_at", "observation_id", item.alias("item"))
     grouped = (
-        rows.join(sizes, ["batch_id", "vehicle_uid"])
-        .withColumn("_part", part)
-        # own shuffle by part: the join above may then be split where one id is large
-        .repartition("batch_id", "vehicle_uid", "_part")
-        .groupBy("batch_id", "vehicle_uid", "_part")
+        numbered.withColumn("part", F.floor((F.col("_position") - 1) / max_records).cast("int"))
+        # own shuffle by part, so that a large batch is spread over tasks
+        .repartition(*keys, "part")
+        .groupBy(*keys, "part")
         .agg(
-            F.min("observed_at").alias("started_at"), F.max("observed_at").alias("ended_at"),
             F.sort_array(F.collect_list(F.when(~is_event, newest(record))), asc=False).alias("_records"),
             F.sort_array(F.collect_list(F.when(is_event, newest(event))), asc=False).alias("_events"),
         )
     )
-    name = F.concat(
-        "batch_id",
-        F.when(F.col("_part") > 0, F.concat(F.lit("#"), F.col("_part").cast("string"))).otherwise(F.lit("")),
-    )
-    return grouped.select(
-        name.alias("batch_id"), F.lit(C.SCHEMA_VERSION).alias("schema_version"), "vehicle_uid", F.lit("OBD").alias("source"),
+    windows = rows.groupBy(*keys).agg(F.min("observed_at").alias("started_at"), F.max("observed_at").alias("ended_at"))
+    return grouped.join(windows, keys).select(
+        "batch_id", "part", F.lit(C.SCHEMA_VERSION).alias("schema_version"), "vehicle_uid", F.lit("OBD").alias("source"),
         F.struct(F.lit("ios").alias("platform"), F.lit(app).alias("app_version"), F.lit(app).alias("adapter_fingerprint")).alias("client"),
         F.struct("started_at", "ended_at", F.lit(60).cast("bigint").alias("sample_interval_seconds")).alias("capture_window"),
         F.col("_records.item").alias("records"), F.col("_events.item").alias("session_events"),

@@ -257,7 +257,7 @@ def catalog_entry(family: str, key: str):
     for entry in C.KPI_CATALOG:
         if entry[0] == family and entry[1] == key:
             return entry
-    raise ValueError(f"kpi_key {key} is not locked for ranking_type {family}")
+    raise ValueError(f"the catalog of {family} has no key {key}")
 
 
 def to_kpi_rows(

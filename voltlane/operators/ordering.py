@@ -208,8 +208,14 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: s
     """Adds ``percentile`` (0-100, rounded half up) and ``cohort_values`` (size) per row.
 
     Share of the key's values at or below this one, or at or above it where
-    ``direction`` is ``lower_is_better``.
+    ``direction`` is ``lower_is_better``. A row without a value, or with a null key, has no
+    rank: both columns are null, and it counts for no other row.
     """
+    ranked = F.lit(True)
+    for name in (*keys, value):
+        ranked = ranked & F.col(name).isNotNull()
+    unranked = df.where(~ranked).withColumns({"percentile": F.lit(None).cast("bigint"), "cohort_values": F.lit(None).cast("bigint")})
+    df = df.where(ranked)
     counts = at_or_below(df, keys, value)
     share = F.when(F.col(direction) == "higher_is_better", F.col("n_at_or_below")).otherwise(
         F.col("n_all") - F.col("n_below")
@@ -219,4 +225,5 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: s
         .withColumn("percentile", F.round(share / F.col("n_all") * 100.0).cast("bigint"))
         .withColumnRenamed("n_all", "cohort_values")
         .drop("n_at_or_below", "n_below", "n_equal")
+        .unionByName(unranked)
     )

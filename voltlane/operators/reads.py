@@ -52,7 +52,7 @@ def kpis_range(kpi: DataFrame, vehicles=None, timeframe: str = "30d", temperatur
 def kpis_charging(kpi: DataFrame, vehicles=None, timeframe: str = "30d", temperature_bin: str = "all") -> DataFrame:
     """Newest charging KPIs. Bin "cold" is accepted but never written, so it is empty."""
     if temperature_bin not in ("all", "cold"):
-        raise ValueError("unsupported temperature_bin for charging KPIs")
+        raise ValueError("charging KPIs have the bins all and cold only")
     return _family_kpis(kpi, C.CHARGING, timeframe, temperature_bin, vehicles)
 
 
@@ -167,7 +167,7 @@ def ranking_page(
     ``has_more`` is true when the page is full. Limit is held to 1-100.
     """
     if family not in C.FAMILIES:
-        raise ValueError("unsupported ranking_type")
+        raise ValueError("no such family of rankings")
     if family != C.TEMPERATURE and temperature_bin != "all":
         raise ValueError("temperature_bin filters are supported only for temperature impact")
     limit, offset = min(max(limit, 1), 100), max(offset, 0)
@@ -219,9 +219,9 @@ def after_cursor(df: DataFrame, observed_at=None, observation_id: str | None = N
     if observed_at is None and observation_id is None:
         return df
     if observed_at is None or observation_id is None:
-        raise ValueError("cursor instant and id must be provided together")
+        raise ValueError("a cursor needs both its instant and its id")
     if not str(observed_at).strip() or not observation_id.strip():
-        raise ValueError("cursor instant and id must both be non-empty")
+        raise ValueError("neither part of a cursor may be blank")
     kind = df.schema["observed_at"].dataType
     at = F.lit(observed_at.isoformat(sep=" ") if hasattr(observed_at, "isoformat") else str(observed_at).strip()).cast(kind)
     here = F.col("observed_at")

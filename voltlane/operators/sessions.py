@@ -114,8 +114,11 @@ def charging_sessions(
 def upsert_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge on ``session_id``: new values win, id and creation instant of a known row stay.
 
-    The owning vehicle of a known session stays as well.
+    The owning vehicle of a known session stays as well. Of several new rows with one
+    ``session_id`` the one that started last is taken, ties by vehicle.
     """
+    whole = F.struct(F.col("started_at"), F.col("vehicle_uid"), F.struct(*new.columns).alias("row"))
+    new = new.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.max(whole).alias("w")).select("w.row.*")
     sticky = ("charging_session_id", "created_at", "vehicle_uid")
     o, n = old.alias("o"), new.alias("n")
     known_new = F.col("n.session_id").isNotNull()

@@ -34,14 +34,17 @@ def local_session(cores: str = "8", name: str = "voltlane") -> SparkSession:
 def work_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder for cut lineage, stream checkpoints or staged tables.
 
-    Uses the shared folder the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset (tests on one machine) a local temporary folder is taken.
+    Uses the shared folder the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a temporary folder serves a session whose executors run in the driver; on a
+    cluster, where executors would not see it, an error is raised.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         import uuid
 
         return os.path.join(shared, f"{prefix}-{uuid.uuid4().hex}")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{prefix}-")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +13,20 @@ from ..functions.scalars import to_real
 
 
 def check_kpi_rows(rows: DataFrame, family: str) -> DataFrame:
-    """Rows of one family; a key outside the locked catalog or a negative count fails the job."""
+    """Rows of one family; a row of another family, a key outside the locked catalog or a negative count fails the job."""
     locked = [e[1] for e in C.KPI_CATALOG if e[0] == family]
     if not locked:
-        raise ValueError(f"unsupported ranking_type: {family}")
-    unknown = F.concat(F.lit("kpi_key "), "kpi_key", F.lit(f" is not locked for ranking_type {family}"))
-    negative = F.concat(F.lit("kpi_key "), "kpi_key", F.lit(" has invalid negative sample_count"))
+        raise ValueError(f"no KPI family is named {family}")
+    foreign = F.concat(F.lit(f"row of another family among those of {family}: "), F.coalesce("ranking_type", F.lit("null")))
+    unknown = F.concat(F.lit(f"the catalog of {family} has no key "), F.coalesce("kpi_key", F.lit("null")))
+    negative = F.concat(F.lit("sample count below zero for key "), "kpi_key")
     checked = (
-        F.when(~F.col("kpi_key").isin(locked), F.raise_error(unknown).cast("bigint"))
+        F.when(~F.col("ranking_type").eqNullSafe(family), F.raise_error(foreign).cast("bigint"))
+        .when(~F.coalesce(F.col("kpi_key").isin(locked), F.lit(False)), F.raise_error(unknown).cast("bigint"))
         .when(F.col("sample_count") < 0, F.raise_error(negative).cast("bigint"))
         .otherwise(F.col("sample_count"))
     )
-    return rows.where(F.col("ranking_type") == family).withColumn("sample_count", checked)
+    return rows.withColumn("sample_count", checked)
 
 
 def replace_kpis(rows: DataFrame, family: str, path: str) -> None:
@@ -32,8 +36,16 @@ def replace_kpis(rows: DataFrame, family: str, path: str) -> None:
     )
 
 
-def replace_rankings(rows: DataFrame, path: str) -> None:
-    """Replace the (family, timeframe) partitions that occur in ``rows``; others stay."""
+def replace_rankings(rows: DataFrame, path: str, families: Sequence[str] = (), timeframes: Sequence[str] = ()) -> None:
+    """Replace the partitions of ``families`` x ``timeframes`` and of those that occur in ``rows``; others stay.
+
+    A family and timeframe without rows ends up empty, whatever it held.
+    """
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for family in families:
+        for timeframe in timeframes:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ranking_type={family}/timeframe={timeframe}"), True)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
