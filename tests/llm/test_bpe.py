@@ -5,7 +5,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from voltlane.llm.bpe import VOCABULARY, codec, digests, encode_texts, op6_bpe
+from voltlane.llm.bpe import VOCABULARY, codec, decode_ids, digests, encode_texts, op6_bpe
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +61,5 @@ def test_tree_joins_give_the_whole_encoding(reference):
 def test_ids_are_returned(spark):
     out, ids = encode_texts(spark.createDataFrame([("hello world",)], "text string"))
     assert out.first()[ids] == codec(VOCABULARY).encode("hello world").tolist()
+    back, name = decode_ids(out.unionByName(spark.createDataFrame([("x", None)], f"text string, {ids} array<int>")))
+    assert sorted((r.text, r[name]) for r in back.collect()) == [("hello world", "hello world"), ("x", "")]

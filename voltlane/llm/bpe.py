@@ -167,16 +167,20 @@ def id_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> tuple[DataFrame, str]:
-    """`df` with the token ids of every whole text as an array column, and that column's name."""
-    ids, key, part, continued = fresh(df.columns, "token_ids", "_key", "_part", "_continued")
-    schema = with_fields(df, df.columns, **{ids: "array<int>"})
+def encode_and_decode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> tuple[DataFrame, str, str]:
+    """`df` with the token ids of every whole text as an array column, the text decoded from them, and those columns' names.
+
+    Ids are decoded where they are made, so they pass to Python and back once only.
+    """
+    ids, decoded, key, part, continued = fresh(df.columns, "token_ids", "decoded", "_key", "_part", "_continued")
+    schema = with_fields(df, df.columns, **{ids: "array<int>", decoded: "string"})
 
     def short(batches):
         c = codec(vocabulary)
         for batch in (piece for whole in batches for piece in slices(whole, text)):
             encoded = [c.encode(t) if t else np.zeros(0, np.uint32) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, id_lists(encoded)], names=[*batch.schema.names, ids])
+            texts = pa.array([c.decode(i.tolist()) for i in encoded], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, id_lists(encoded), texts], names=[*batch.schema.names, ids, decoded])
 
     def cut(batches):
         c = codec(vocabulary)
@@ -198,8 +202,9 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         import pandas as pd
 
         pdf = pdf.sort_values(part)
-        joined = codec(vocabulary).join_all([(f, list(map(int, i))) for f, i in zip(pdf[continued], pdf[ids], strict=True)])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], ids: [joined]})
+        c = codec(vocabulary)
+        joined = c.join_all([(f, list(map(int, i))) for f, i in zip(pdf[continued], pdf[ids], strict=True)])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], ids: [joined], decoded: [c.decode(joined)]})
 
     long_text = F.coalesce(F.length(col(text)) > segment, F.lit(False))
     rows = df.where(long_text).withColumn(key, F.sha2(col(text), 256))
@@ -209,9 +214,16 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         .repartition(F.col(key), F.col(part))
         .mapInArrow(leaf, f"{key} string, {part} int, {continued} boolean, {ids} array<int>")
     )
-    whole = leaves.groupBy(key).applyInPandas(tree, f"{key} string, {ids} array<int>")
+    whole = leaves.groupBy(key).applyInPandas(tree, f"{key} string, {ids} array<int>, {decoded} string")
     names = [col(c) for c in df.columns]
-    return df.where(~long_text).mapInArrow(short, schema).unionByName(rows.join(whole, key).select(*names, col(ids))), ids
+    joined = rows.join(whole, key).select(*names, col(ids), col(decoded))
+    return df.where(~long_text).mapInArrow(short, schema).unionByName(joined), ids, decoded
+
+
+def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> tuple[DataFrame, str]:
+    """`df` with the token ids of every whole text as an array column, and that column's name."""
+    out, ids, decoded = encode_and_decode(df, text, vocabulary, segment)
+    return out.drop(decoded), ids
 
 
 def decode_ids(df: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
@@ -231,14 +243,13 @@ def decode_ids(df: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULA
 
 def digests(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text for every row; the text goes."""
-    encoded, ids = encode_texts(df, text, vocabulary)
+    out, ids, decoded = encode_and_decode(df, text, vocabulary)
     keep = [c for c in df.columns if c != text]
     n, a, b = fresh(keep, "n_tokens", "ids_sha256", "decoded_sha256")
-    counted = encoded.select(
-        *[col(c) for c in keep], F.size(col(ids)).cast("bigint").alias(n), F.sha2(F.array_join(col(ids).cast("array<string>"), ","), 256).alias(a), col(ids),
+    return out.select(
+        *[col(c) for c in keep], F.size(col(ids)).cast("bigint").alias(n),
+        F.sha2(F.array_join(col(ids).cast("array<string>"), ","), 256).alias(a), F.sha2(col(decoded), 256).alias(b),
     )
-    decoded, name = decode_ids(counted, ids, vocabulary)
-    return decoded.select(*[col(c) for c in keep], n, a, F.sha2(col(name), 256).alias(b))
 
 
 @register("op6_bpe")
