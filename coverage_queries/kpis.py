@@ -183,7 +183,7 @@ def rank_orders(s):
     from voltlane.operators.ordering import distributed_rank
 
     rows = s.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderkey").cast("string").alias("id"))
-    ranked = distributed_rank(rows, ["o_orderstatus"], "o_totalprice", "id", 2)
+    ranked = distributed_rank(rows, ["o_orderstatus"], "o_totalprice", "id")
     return ranked.select("o_orderkey", "o_orderstatus", "rank_position", "cohort_size")
 
 

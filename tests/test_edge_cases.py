@@ -10,9 +10,9 @@ from tests.test_ingest import T0, batch, frame, outcomes
 from voltlane.functions.scalars import parse_ts
 from voltlane.operators import ingest as I
 from voltlane.operators.design import source_precedence
-from voltlane.operators.ordering import percentile_rank
+from voltlane.operators.ordering import distributed_rank, percentile_rank
 from voltlane.operators.sessions import upsert_sessions
-from voltlane.session import work_folder
+from voltlane.session import table_stage, work_folder
 from voltlane.sources.sinks import check_kpi_rows
 
 
@@ -95,3 +95,22 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         work_folder(Cluster, "x")
+
+
+def test_equal_scores_with_one_prefix_spread_over_ranges(spark):
+    seen = []
+
+    def stage(df, name):
+        seen.append(table_stage(spark)(df, name))
+        return seen[-1]
+
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(100_000).select(F.lit("k").alias("k"), F.lit(100.0).alias("s"), F.format_string("veh-%08d", "id").alias("id"))
+        ranked = distributed_rank(rows, ["k"], "s", "id", stage=stage)
+        assert ranked.where(F.col("rank_position") != F.substring("id", 5, 8).cast("bigint") + 1).isEmpty() and ranked.count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 30_000

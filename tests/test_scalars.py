@@ -63,7 +63,7 @@ def test_parse_ts(spark):
 
 
 def test_unknown_timeframe_is_an_error():
-    with pytest.raises(ValueError, match="unsupported timeframe"):
+    with pytest.raises(ValueError, match="no timeframe"):
         P.timeframes(datetime(2024, 1, 1), ["14d"])
 
 

@@ -57,7 +57,7 @@ def test_distributed_rank_with_many_ties(spark):
     rows = [(k, rng.choice([100.0, 0.0, round(rng.uniform(0, 100), 1), rng.uniform(0, 100)]), f"{i * 7919 % 100003:05d}")
             for i, k in enumerate(hot(rng, 3000))]
     got = {r.id: (r.rank_position, r.cohort_size) for r in distributed_rank(
-        spark.createDataFrame(rows, "k string, s double, id string"), ["k"], "s", "id", 2).collect()}
+        spark.createDataFrame(rows, "k string, s double, id string"), ["k"], "s", "id").collect()}
     groups = defaultdict(list)
     for k, s, i in rows:
         groups[k].append((-s, i))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.scalars import clamp, confidence, instant, year_band
+from ..session import table_stage
 from .ordering import exact_median
 from .rankings import vehicle_catalog
 from .skew import join_counted
@@ -45,12 +46,13 @@ def cohort_fallback(vehicle: DataFrame, minimum: int = C.COHORT_GATE, preferred:
     )
 
 
-def source_precedence(obs: DataFrame) -> DataFrame:
+def source_precedence(obs: DataFrame, stage=None) -> DataFrame:
     """Adds ``is_winner``: per (vehicle, signal) by source priority, then newest, then confidence.
 
     Losing readings are kept. The winner is a partial aggregate joined back by key. A
     reading without vehicle or signal competes with none: ``is_winner`` is null.
     """
+    stage = stage or table_stage(obs.sparkSession)
     keyless = F.col("vehicle_uid").isNull() | F.col("signal_key").isNull()
     aside = obs.where(keyless).withColumn("is_winner", F.lit(None).cast("boolean"))
     obs = obs.where(~keyless)
@@ -61,9 +63,9 @@ def source_precedence(obs: DataFrame) -> DataFrame:
         (F.col("source") == preferred).cast("int").alias("p"), F.col("observed_at"),
         F.coalesce("confidence", F.lit(-1.0)).alias("c"), F.col("observation_id"),
     )
-    best = obs.groupBy("vehicle_uid", "signal_key").agg(
+    best = stage(obs.groupBy("vehicle_uid", "signal_key").agg(
         F.max(order)["observation_id"].alias("_best"), F.count(F.lit(1)).alias("_n")
-    )
+    ), "winners")
     return join_counted(obs, best, ["vehicle_uid", "signal_key"], "_n").withColumn(
         "is_winner", F.col("observation_id") == F.col("_best")
     ).drop("_best", "_n").unionByName(aside)
@@ -93,18 +95,22 @@ def cohort_temperature_metrics(kpi: DataFrame, vehicle: DataFrame) -> DataFrame:
     )
 
 
-def charge_acceptance(sess: DataFrame) -> DataFrame:
+def charge_acceptance(sess: DataFrame, stage=None) -> DataFrame:
     """Charging power against the fleet's usual power for the same SOC band, temperature and charger.
 
     (vehicle_uid, acceptance_score 0-100, sessions): the median of observed over expected.
+    Medians and counted joins read their input several times, so each input is written
+    once by ``stage`` (default: :func:`table_stage`).
     """
+    stage = stage or table_stage(sess.sparkSession)
     bins = ["soc_band", "temperature_bin", "charger_type"]
     band: Column = F.floor(F.col("soc_start_pct") / 10.0).cast("bigint")
     rows = sess.where(
         (F.col("avg_charge_power_kw") > 0) & F.col("soc_start_pct").isNotNull() & F.col("temperature_bin").isNotNull()
     ).select("vehicle_uid", "session_id", band.alias("soc_band"), "temperature_bin", "charger_type", "avg_charge_power_kw")
-    expected = exact_median(rows, bins, "avg_charge_power_kw").withColumnRenamed("median", "expected_kw")
+    rows = stage(rows, "rows")
+    expected = stage(exact_median(rows, bins, "avg_charge_power_kw").withColumnRenamed("median", "expected_kw"), "expected")
     ratios = join_counted(rows, expected, bins, "n").withColumn("ratio", F.col("avg_charge_power_kw") / F.col("expected_kw"))
-    return exact_median(ratios, ["vehicle_uid"], "ratio").select(
+    return exact_median(stage(ratios.select("vehicle_uid", "ratio"), "ratios"), ["vehicle_uid"], "ratio").select(
         "vehicle_uid", clamp(F.lit(100.0) * F.col("median"), 0, 100).alias("acceptance_score"), F.col("n").alias("sessions")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
+from ..session import Stage, table_stage
 from .skew import join_counted
 
 # Buckets per e-fold of magnitude. Values up to 1e6 give about 57,000 buckets per key.
@@ -130,46 +131,34 @@ def distributed_rank(
     keys: Sequence[str],
     score: str,
     tiebreak: str,
-    prefix_length: int = 4,
     rank_name: str = "rank_position",
     size_name: str = "cohort_size",
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Position 1..n per key by (score descending, tiebreak ascending), and n.
 
-    Equal to ``row_number`` over the key. The key is split by score bucket, then by exact
-    score and a prefix of the tie-break, so that neither a large cohort nor many equal
-    scores end up in one task.
+    Equal to ``row_number`` over the key. Rows are dealt by ranges of (key, score,
+    tiebreak), whose cut points Spark takes from the data, so neither a large cohort nor
+    many equal scores end up in one task; counts per range give the offsets. The dealt
+    rows are written once by ``stage`` (default: :func:`table_stage`), as everything
+    after reads them again.
     """
     keys = list(keys)
-    marked = df.withColumn("_b", value_bucket(F.col(score))).withColumn(
-        "_p", F.substring(F.col(tiebreak), 1, prefix_length)
-    )
-    fine_keys = [*keys, "_b", score, "_p"]
-    fine = marked.groupBy(*fine_keys).agg(F.count(F.lit(1)).alias("_n"))
-    coarse = fine.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    coarse = coarse.select(
-        *keys, "_b",
-        F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_above"),
-        F.sum("_c").over(whole).alias(size_name),
-    )
-    within = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy(F.desc(score), F.asc("_p"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        fine.withColumn("_ahead", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .join(coarse, [*keys, "_b"])
-        .select(*fine_keys, (F.col("_above") + F.col("_ahead")).alias("_offset"), size_name)
-    )
-    last = Window.partitionBy(*fine_keys).orderBy(F.asc(tiebreak))
+    stage = stage or table_stage(df.sparkSession)
+    ranges = df.repartitionByRange(*keys, F.desc(score), F.asc(tiebreak)).withColumn("_range", F.spark_partition_id())
+    dealt = stage(ranges, "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_range",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias(size_name),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(score), F.asc(tiebreak))
     return (
-        marked.withColumn("_r", F.row_number().over(last))
-        .join(offsets, fine_keys)
+        dealt.withColumn("_r", F.row_number().over(inside))
+        .join(offsets, [*keys, "_range"])
         .withColumn(rank_name, (F.col("_offset") + F.col("_r")).cast("bigint"))
-        .drop("_b", "_p", "_r", "_offset")
+        .drop("_range", "_r", "_offset")
     )
 
 
@@ -204,7 +193,7 @@ def at_or_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: str) -> DataFrame:
+def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: str, stage: Stage | None = None) -> DataFrame:
     """Adds ``percentile`` (0-100, rounded half up) and ``cohort_values`` (size) per row.
 
     Share of the key's values at or below this one, or at or above it where
@@ -216,7 +205,8 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, direction: s
         ranked = ranked & F.col(name).isNotNull()
     unranked = df.where(~ranked).withColumns({"percentile": F.lit(None).cast("bigint"), "cohort_values": F.lit(None).cast("bigint")})
     df = df.where(ranked)
-    counts = at_or_below(df, keys, value)
+    stage = stage or table_stage(df.sparkSession)
+    counts = stage(at_or_below(df, keys, value), "counts")  # read three times by the join
     share = F.when(F.col(direction) == "higher_is_better", F.col("n_at_or_below")).otherwise(
         F.col("n_all") - F.col("n_below")
     )

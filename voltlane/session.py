@@ -13,6 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Writes a frame under a name and gives it back read from there.
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
 def local_session(cores: str = "8", name: str = "voltlane") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -48,7 +52,7 @@ def work_folder(spark: SparkSession, prefix: str) -> str:
     return tempfile.mkdtemp(prefix=f"{prefix}-")
 
 
-def table_stage(spark: SparkSession, folder: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+def table_stage(spark: SparkSession, folder: str | None = None) -> Stage:
     """Materialise a stage as a parquet table in the shared folder and read it back.
 
     Cuts lineage: a lost executor re-reads the table instead of recomputing earlier stages.
