@@ -11,9 +11,8 @@ What the graphs propose is verified by cosines in double precision.
 A task returns the number of links of each query and a forest of its links, at most one edge a vector, which joins what
 the links join. Forests are united by contraction.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing and stay alone, as do vectors of
-another length than the most frequent one with all but their like. Repeated ids are rows of their own with the same
-id. An empty table gives an empty table. Extra columns are dropped.
+Vectors that are null, zero, or hold null or non-finite components link with nothing and stay alone. Vectors of
+different lengths never link. Rows that repeat an id are rows of their own with that id. An empty table gives an empty table. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ ENTRIES = 16
 AUDIT_SHARE, AUDIT_LEAST, AUDIT_MOST, RECALL = 0.02, 64, 1_000, 1.0
 #: A beam is wide enough when its worst vector lies so far below the threshold.
 MARGIN = 0.02
-"""A vector is verified where single precision gives at least the threshold less this."""
+#: A vector is verified where single precision gives at least the threshold less this.
 SLACK = 1e-4
 
 
