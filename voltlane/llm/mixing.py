@@ -28,7 +28,7 @@ TARGETS: dict[str | None, int] = {"src0": 20, **{f"src{i}": 4 for i in range(1,
 BLOCK = 64
 SEED = 17
 #: Rows of one numbering task, about.
-NUMBERED_ROWS = 20_000
+NUMBERED_ROWS = 2_000
 #: Largest number of streams and of slots in a round; beyond it the targets are refused.
 MOST_STREAMS, MOST_SLOTS = 1_000, 10_000
 
