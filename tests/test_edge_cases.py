@@ -13,7 +13,7 @@ from voltlane.operators.design import source_precedence
 from voltlane.operators.ordering import distributed_rank, percentile_rank
 from voltlane.operators.sessions import upsert_sessions
 from voltlane.session import table_stage, work_folder
-from voltlane.sources.sinks import check_kpi_rows
+from voltlane.sources.sinks import check_kpi_rows, write_observations
 
 
 def test_each_required_field_is_required(spark):
@@ -114,3 +114,12 @@ def test_equal_scores_with_one_prefix_spread_over_ranges(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
     assert len(sizes) >= 6 and max(sizes) < 30_000
+
+
+def test_files_of_a_day_follow_its_volume(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 16).select(
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 5 * 86400).alias("observed_at"), F.col("id").cast("double").alias("value_number"), F.lit(0.5).alias("confidence"))
+    write_observations(rows, f"{tmp_path}/obs")
+    days = [d for d in (tmp_path / "obs").iterdir() if d.is_dir()]
+    assert len(days) == 5 and all(len(list(d.glob("part-*"))) == 1 for d in days)
+    assert spark.read.parquet(f"{tmp_path}/obs").count() == 4000

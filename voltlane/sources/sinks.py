@@ -64,13 +64,17 @@ def read_rankings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_observations(rows: DataFrame, path: str, mode: str = "append", real_storage: bool = False) -> None:
-    """Append accepted readings partitioned by day; the source is always OBD."""
+    """Append accepted readings partitioned by day; the source is always OBD.
+
+    Rows of a day are brought together before the write, a large day in several files, so
+    the number of files follows the volume and not tasks x days.
+    """
     out = rows.withColumn("source", F.lit("OBD")).withColumn("observed_date", F.to_date("observed_at"))
     if real_storage:
         out = out.withColumn("value_number", to_real(F.col("value_number"))).withColumn(
             "confidence", to_real(F.col("confidence"))
         )
-    out.write.mode(mode).partitionBy("observed_date").parquet(path)
+    out.hint("rebalance", "observed_date").write.mode(mode).partitionBy("observed_date").parquet(path)
 
 
 def write_raw_archive(batches: DataFrame, path: str, shards: int = 256) -> None:
@@ -78,6 +82,7 @@ def write_raw_archive(batches: DataFrame, path: str, shards: int = 256) -> None:
     (
         batches.withColumn("received_date", F.to_date("received_at"))
         .withColumn("user_shard", F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int"))
+        .hint("rebalance", "received_date", "user_shard")
         .write.mode("append")
         .partitionBy("received_date", "user_shard")
         .parquet(path)
