@@ -58,3 +58,22 @@ def test_odd_rows_and_labels(spark):
     assert all((s >= 0.7) == bool(t and "fool" in t.lower()) for t, s in got)
     assert m.score_toxicity(df.limit(0), lexicon)[0].count() == 0
     assert m.learn_lexicon(m.labelled_sample(df, labels.limit(0), "toxic"), 0.0).terms == {}
+
+
+def test_copies_of_one_toxic_text_teach_its_insult_only(spark):
+    rng = random.Random(3)
+    common = [f"common{i:03d}" for i in range(40)]
+    copied = "yesterday the gardener planted lovely tulips beside our wooden fence you dumbhead"
+    rows = [(i, copied, 1) for i in range(300)]
+    for i in range(300, 900):
+        toxic = i % 3 == 0
+        words = rng.sample(common, 8) + ["dumbhead" if i % 2 else "wormface"] * toxic
+        rows.append((i, " ".join([*words, str(i)]), int(toxic)))
+    clean = [(1000 + i, f"{w} {' '.join(rng.sample(common, 5))}", None) for i, w in enumerate("yesterday gardener planted lovely tulips beside wooden fence".split())]
+    df = spark.createDataFrame(rows + clean, "doc_id long, text string, toxic int")
+    lexicon = m.learn_lexicon(m.labelled_sample(df, df, "toxic"), 0.5)
+    got = {r.doc_id: r.score for r in m.score_toxicity(df, lexicon)[0].collect()}
+    assert all(got[i] < 0.7 for i, _, y in rows + clean if y != 1)
+    assert all(got[i] >= 0.7 for i, _, y in rows if y == 1)
+    texts = m.labelled_texts(df, df, "toxic")
+    assert texts.count() == 601 and texts.where("y = 1").count() == 201

@@ -8,10 +8,11 @@ those with such a term; a misspelled hit the share measured for its number of ed
 is scored: quotation marks and words of report speak for a quotation, the second person for abuse; a quotation counts
 less by a measured factor. The score of a document is the chance that at least one hit is abuse.
 
-Learning reads at most `MOST_LABELLED` labelled documents of each class (a bounded, documented sample: those with the
-smallest hash of the id) and keeps at most `MOST_TERMS` terms. Scoring reads every whole text. Null and empty texts
-have no hits and get the score `NO_HIT`. Without labels of both classes the lexicon is empty. Repeated rows get equal
-scores; repeated labels count once each. Extra columns pass through; the score takes a name that clashes with none.
+Learning counts every distinct text once for each class, however many labelled copies it has, and reads at most
+`MOST_LABELLED` distinct labelled texts of each class (a bounded, documented sample: those with the smallest digest of
+the text). Terms are chosen from all candidates before at most `MOST_TERMS` are kept. Scoring reads every whole text.
+Null and empty texts have no hits and get the score `NO_HIT`. Without labels of both classes the lexicon is empty.
+Repeated rows get equal scores. Extra columns pass through; the score takes a name that clashes with none.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import col, fresh, register, remainder, slices, table, with_fields
+from voltlane.llm.common import Stages, col, fresh, register, remainder, slices, table, with_fields
 
 MOST_LABELLED = 8_000
 MOST_TERMS = 2_000
-#: A term must have this chance of a toxic document, smoothed, and stand in so many, and such a part, of the toxic documents.
+#: A term must have this chance of a toxic text, smoothed, and stand in so many, and such a part, of the toxic texts.
 LEAST_CHANCE, LEAST_DOCUMENTS, LEAST_PART = 0.9, 4, 0.01
-#: Terms are taken from the most frequent; each must stand in a large part of the toxic documents, or explain so many, and
-#: such a part, of those without a term so far. Copies of one document thus bring in one term at most.
-LARGE_PART, LEAST_NEW, LEAST_NEW_PART = 0.1, 2, 0.001
+#: Terms are taken from the most frequent; each must explain so many, and such a part, of the toxic texts without a term so
+#: far, or share at most such a part of its texts with any one term kept. The words of near-copies of a text share nearly all,
+#: so they bring in few terms; exact copies are one text.
+LEAST_NEW, LEAST_NEW_PART, MOST_SHARED = 2, 0.001, 0.8
 PREFIXES = range(4, 8)
 #: Letters that a term needs for one and for two edits.
 ONE_EDIT, TWO_EDITS = 5, 9
@@ -202,65 +204,80 @@ def score_of(text: str | None, matcher: Matcher, lexicon: Lexicon) -> float:
     return 1.0 - clean
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
-    """(text, label) of at most `most` labelled documents of each class: those with the smallest hash of the key.
+def _digest(text: str) -> Column:
+    return F.sha2(F.coalesce(col(text), F.lit("")), 256)
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, y, k) of every distinct labelled text, once for each class it is labelled with; k is a key that has it."""
+    known = labels.where(col(label).isin(0, 1)).select(col(key).alias("k"), col(label).cast("int").alias("y")).distinct()
+    return documents.select(col(key).alias("k"), _digest(text).alias("digest")).join(known, "k").groupBy("digest", "y").agg(F.min("k").alias("k"))
+
 
-    The sample of labels is bounded, so it is broadcast and the texts stay where they are read.
+def sampled(documents: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
+    """(text, y) of at most `most` of the `labelled_texts` of each class: those with the smallest digest, one row each.
+
+    The list of them is bounded, so it is broadcast and all other texts stay where they are read.
     """
-    known = labels.where(col(label).isin(0, 1)).select(col(key).alias("k"), col(label).cast("int").alias("y"))
-    order = [F.xxhash64("k", F.lit(5)), col("k")]
-    few = known.where("y = 1").orderBy(*order).limit(most).unionByName(known.where("y = 0").orderBy(*order).limit(most))
-    return documents.select(col(key).alias("k"), col(text).alias("text")).join(F.broadcast(few), "k").select("text", "y")
+    few = texts.where("y = 1").orderBy("digest").limit(most).unionByName(texts.where("y = 0").orderBy("digest").limit(most))
+    found = documents.select(col(key).alias("k"), col(text).alias("text"), _digest(text).alias("digest")).join(F.broadcast(few), ["k", "digest"])
+    return found.dropDuplicates(["digest", "y"]).select("text", "y")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
+    """(text, y) of at most `most` distinct labelled texts of each class."""
+    return sampled(documents, labelled_texts(documents, labels, label, key, text), key, text, most)
 
 
 def learn_lexicon(sample: DataFrame, share: float) -> Lexicon:
-    """`share`: part of toxic documents among all, to which the sample's classes are weighed back."""
+    """`share`: part of toxic texts among all, to which the sample's classes are weighed back."""
 
     def count(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-                for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                clean: Counter = Counter()
+                toxic: dict[str, list[int]] = {}
+                for t, y, n in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), batch.column("n").to_pylist(), strict=True):
                     words = {w for w in _WORD.findall((t or "").lower()) if 3 < len(w) <= 40}
-                    counts[y].update(words)
-                    counts[y].update({w[:k] + "*" for w in words for k in PREFIXES if len(w) > k})
-                terms = list(counts[0].keys() | counts[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (0, 1))], names=["term", "clean", "toxic"])
+                    terms = words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
+                    if y:
+                        for term in terms:
+                            toxic.setdefault(term, []).append(n)
+                    else:
+                        clean.update(terms)
+                terms = list(clean.keys() | toxic.keys())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), pa.array([clean[t] for t in terms], pa.int64()), pa.array([toxic.get(t, []) for t in terms], pa.list_(pa.int64()))], names=["term", "clean", "texts"],
+                )
 
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Lexicon({}, {}, PRIOR["quoted"])
     toxic, clean = col("toxic") / size[1] * share, (col("clean") + 0.5) / size[0] * (1 - share)
-    counted = sample.mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counted.where(col("toxic") >= max(LEAST_DOCUMENTS, LEAST_PART * size[1])).withColumn("chance", toxic / (toxic + clean)).where(col("chance") >= LEAST_CHANCE)
-    best = best.orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
-    terms = {r.term: r.chance for r in best}
-    toxic_of = {r.term: r.toxic for r in best}
-    index = {t: i for i, t in enumerate(terms)}
-
-    def contained(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = []
-                for t in batch.column("text").to_pylist():
-                    words = set(_WORD.findall((t or "").lower()))
-                    found.append(sorted({index[x] for w in words for x in (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)) if x in index}))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["terms"])
-
-    # Rows of the toxic part of the sample, at most MOST_LABELLED, with numbers below MOST_TERMS.
-    rows = [set(r.terms) for r in sample.where("y = 1").mapInArrow(contained, "terms array<int>").collect()]
-    keep, explained = {}, [False] * len(rows)
-    for term in sorted(terms, key=lambda t: (-toxic_of[t], len(t), t)):
-        new = [i for i, r in enumerate(rows) if not explained[i] and index[term] in r]
-        if toxic_of[term] >= LARGE_PART * size[1] or len(new) >= max(LEAST_NEW, LEAST_NEW_PART * size[1]):
-            keep[term] = terms[term]
-            for i in new:
-                explained[i] = True
-    # Under a kept beginning, its most frequent whole word stays for the misspellings.
-    for start in [t for t in keep if t.endswith("*")]:
-        under = [t for t in terms if not t.endswith("*") and t.startswith(start[:-1])]
-        if under and toxic_of[most := max(under, key=toxic_of.get)] * 2 >= toxic_of[start]:
-            keep[most] = terms[most]
+    numbered = sample.withColumn("n", F.xxhash64("text"))
+    # At most MOST_LABELLED numbers of toxic texts for each term.
+    counted = numbered.mapInArrow(count, "term string, clean bigint, texts array<bigint>").groupBy("term").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("texts")).alias("texts"))
+    best = counted.withColumn("toxic", F.size("texts")).where(col("toxic") >= max(LEAST_DOCUMENTS, LEAST_PART * size[1])).withColumn("chance", toxic / (toxic + clean)).where(col("chance") >= LEAST_CHANCE)
+
+    # All candidates pass by, the most frequent first; only those kept stay, with the numbers of their texts.
+    keep: dict[str, float] = {}
+    toxic_of: dict[str, int] = {}
+    holds: dict[int, list[str]] = {}
+    filled: set[str] = set()
+    for r in best.orderBy(F.desc("toxic"), F.length("term"), "term").toLocalIterator():
+        new = sum(n not in holds for n in r.texts)
+        shared = Counter(t for n in r.texts for t in holds.get(n, ()))
+        apart = max(shared.values(), default=0) <= MOST_SHARED * r.toxic
+        if len(toxic_of) < MOST_TERMS and (apart or new >= max(LEAST_NEW, LEAST_NEW_PART * size[1])):
+            keep[r.term], toxic_of[r.term] = r.chance, r.toxic
+            for n in r.texts:
+                holds.setdefault(n, []).append(r.term)
+        if not r.term.endswith("*"):
+            # Under a kept beginning, its most frequent whole word stays for the misspellings. It follows its beginnings.
+            for start in [s for k in PREFIXES if (s := r.term[:k] + "*") in keep and s not in filled and len(r.term) > k]:
+                filled.add(start)
+                if r.toxic * 2 >= toxic_of[start]:
+                    keep[r.term] = r.chance
     rough = Lexicon(keep, {}, PRIOR["quoted"])
 
     def measure(batches):
@@ -306,9 +323,11 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text") -> tuple
 
 def learned(spark: SparkSession, sf_dir: str) -> Lexicon:
     """Lexicon from the labels whose crc32 of the id, modulo 3, is not 1."""
+    documents, stages = table(spark, sf_dir, "documents"), Stages(spark, "toxicity")
     known = table(spark, sf_dir, "labels").where(remainder(col("doc_id"), 3) != 1)
-    share = known.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0] or 0.0
-    return learn_lexicon(labelled_sample(table(spark, sf_dir, "documents"), known, "toxic"), share)
+    texts = stages(labelled_texts(documents, known, "toxic"), "labelled_texts")
+    share = texts.agg(F.avg("y")).first()[0] or 0.0
+    return learn_lexicon(stages(sampled(documents, texts), "sample"), share)
 
 
 @register("op7_toxicity")
