@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, toxicity, near-duplicates, mixing, tokens. Each stage calls one operator of voltlane.llm.
 
 Every stage gets all documents that the one before kept and hands on those it keeps, with the columns of `documents`;
-the last adds nothing to a document's identity but its tokens and drops its text. Stages are written as Parquet in the
+the last adds nothing to a document's identity but its tokens and its position in the mix and drops its text. Stages are written as Parquet in the
 shared folder and read again, so a lost executor repeats one stage at most.
 
 Rows with null, empty or blank text are rejected by the first stage, as they have fewer than ten words. Extra columns
@@ -45,8 +45,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count, digest of the ids and digest of the decoded text of every document (operator 6)."""
-    return bpe.digests(docs.select("doc_id", "text", "lang", "source"))
+    """Token count, digest of the ids and digest of the decoded text of every document (operator 6), with its position in the order of training."""
+    placed, position = mixing.with_written_position(docs)
+    return bpe.digests(placed.select("doc_id", "text", "lang", "source", position))
 
 
 STAGES = [

@@ -5,8 +5,8 @@ import pytest
 import corpus_pipeline as p
 from tests.compare import duck
 from tests.llm.test_minhash_dedup import brute
-from voltlane.llm import bpe, toxicity
-from voltlane.llm.common import SQL, remainder
+from voltlane.llm import bpe, mixing, toxicity
+from voltlane.llm.common import SQL, Stages, remainder
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,20 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for name, stage in p.STAGES:
         docs = stage(spark, docs.withColumn("kept", remainder(docs.doc_id, 2)) if name == "quality_rules" else docs, SF)
     assert [r.doc_id for r in docs.collect()] == [1]
+
+
+def test_last_stage_gives_every_document_its_position_in_the_mix(spark):
+    texts = {7: "word " * 20_000, 8: None}
+    rows = [(i, texts.get(i, f"text {i}" * (1 + i % 50)), "en", f"src{i % 3}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    placed, names = mixing.mix_sources(docs)
+    expected = {r.doc_id: r[names["position"]] for r in placed.collect()}
+    assert sorted(expected.values()) == list(range(400))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = Stages(spark, "test")(p.mixed(spark, docs, ""), "mix_sources")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(written.inputFiles()) > 1
+    for mix in (written, p.mixed(spark, docs, "")):
+        assert {r.doc_id: r.position for r in p.tokens(spark, mix, "").collect()} == expected

@@ -16,6 +16,7 @@ other columns. Repeated rows keep their number. An empty table gives an empty ta
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -150,6 +151,25 @@ def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     return placed.repartitionByRange(col(names["position"])).sortWithinPartitions(col(names["position"])).select(*[col(c) for c in df.columns])
 
 
+def with_written_position(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with the position (dense, from 0) of every row in the written files, taken by their numbers, and that column's name.
+
+    A frame that is more than a plain read of files is written first. One count per file reaches the driver.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = Stages(df.sparkSession, "mixing")(df, "order")
+    position, file, before = fresh(df.columns, "position", "_file", "_before")
+    counts = {r[0]: r[1] for r in df.groupBy(F.col("_metadata.file_name").alias(file)).count().collect()}
+    offsets, rows = [], 0
+    # part-<task>-<id>-c<file of the task>
+    for name in sorted(counts, key=lambda x: [int(n) for n in re.match(r"part-(\d+)-.*-c(\d+)\.", x).groups()]):
+        offsets.append((name, rows))
+        rows += counts[name]
+    starts = df.sparkSession.createDataFrame(offsets, f"{file} string, {before} bigint")
+    placed = df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(position)).join(F.broadcast(starts), file)
+    return placed.withColumn(position, col(position) + col(before)).drop(file, before), position
+
+
 @register("op2_mix_sources")
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))[0]
