@@ -1,15 +1,16 @@
 """Operator 13: how far the sources of a language diverge in their words, by chunk factorization.
 
-A text is a row of chunks between ASCII white space; no term crosses white space. Documents are taken in blocks of
-bounded size. Each block numbers its distinct chunks and keeps, for every document, chunk numbers and their counts. The
-distinct chunks of all blocks are tokenized once each, with Spark's own functions, and their terms are joined back to
-the numbers of every block. A block then has the terms of all its chunks beside its documents, so that distinct
-documents and occurrences of a term are counted where the documents lie; what leaves a block is one row a language,
-source and term.
+A text is a row of chunks between ASCII white space; no term crosses white space. Every task counts the chunks of its
+documents, in blocks of bounded size, and sends one row a distinct chunk: occurrences and documents for every group (a
+source of a language), and the documents' numbers where they are few. In the order of chunks these rows are combined, so
+each globally distinct chunk is tokenized once, by Spark's own functions, and its counts are joined to its terms. In the
+order of terms they are combined again: occurrences are added up, and a term is kept in a language if one of its chunks
+alone stands in enough documents or the distinct documents of all its chunks are enough. No more documents are
+remembered for a term than that takes, and no more than one chunk or term is held while rows stream past.
 
 Terms are runs of characters other than ASCII ones that are not letters, with A-Z lower-cased. Null text, language or
 source reads as ''. Each language keeps the terms in at least `least` of its documents (V of them). With N occurrences of kept terms
-in a group (a source of a language, or the whole language), a term's weight is p = 1 + floor(10^9 (count + 5) / (N + 5 V)),
+in a group or a whole language, a term's weight is p = 1 + floor(10^9 (count + 5) / (N + 5 V)),
 in whole numbers. Every group has a weight for every kept term, so terms that a source lacks need no rows: they share one weight.
 
 Sums of |p - q| over all terms of two sources are built from blocks of terms and sources: a task holds the weights of
@@ -19,7 +20,7 @@ own; documents need no id. Extra columns are left out; an empty table gives an e
 
 from __future__ import annotations
 
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,59 +29,213 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions.sizes import broadcast_if_small
-from voltlane.llm.common import Stages, col, register, table
+from voltlane.llm.common import Stages, col, register, slices, table
 
 LEAST_DOCUMENTS = 30
 TOP = 50
 #: Bytes of text in a block, but for a longer text, which is a block of its own.
-BLOCK = 16_000_000
+BLOCK = 48_000_000
 #: Sources and terms that are compared at once.
 SOURCES = 256
 TERMS = 4_096
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLOCKS = "task int, block int, lang string, source string, numbers array<int>, counts array<int>, chunks array<string>"
+_ROWS = 50_000
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *values]), kind))
+def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of `values`, so many numbers in each, as binaries."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _blocks(limit: int):
-    """Documents with their chunks numbered within a block. The last row of a block holds its chunks and no document."""
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of binaries, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat.view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
-    def numbered(batches):
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.diff(sorted_keys, prepend=sorted_keys[:1] - 1)) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+class Counts(NamedTuple):
+    """Counts by key (a chunk or a term, numbered in order): occurrences for every group, documents for every language."""
+
+    key: np.ndarray
+    lang: np.ndarray
+    group: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+    """Documents of the key in the group."""
+    doc_key: np.ndarray
+    doc_lang: np.ndarray
+    doc: np.ndarray
+    """Numbers of documents; ENOUGH: the language needs none."""
+
+    def and_then(self, other: Counts) -> Counts:
+        return Counts(*(np.concatenate(pair) for pair in zip(self, other, strict=True)))
+
+    def of_keys(self, keep: np.ndarray, shift: int = 0) -> Counts:
+        """Only the keys where `keep` holds, renumbered by `shift`."""
+        a, b = keep[self.key], keep[self.doc_key]
+        picked = [x[a] for x in self[:5]] + [x[b] for x in self[5:]]
+        return Counts(*picked)._replace(key=picked[0] - shift, doc_key=picked[5] - shift)
+
+
+#: Stands for the documents of a key and language that have been found to be enough.
+ENOUGH = -1
+
+
+def combined(c: Counts, least: int, disjoint: bool) -> Counts:
+    """One entry a key and group, one a key, language and document; documents of languages with enough of them go.
+
+    `disjoint`: entries of one key never share a document (those of one chunk), so their documents may be added up.
+    """
+    width = int(c.group.max()) + 1 if len(c.group) else 1
+    order = np.argsort(c.key * width + c.group, kind="stable")
+    sorted_keys = (c.key * width + c.group)[order]
+    at = _runs(sorted_keys)
+    total = lambda x: np.add.reduceat(x[order], at) if len(at) else x[:0]
+    key, lang, group, n, docs = c.key[order][at], c.lang[order][at], c.group[order][at], total(c.n), total(c.docs)
+
+    # languages, numbered by key
+    langs = int(c.lang.max()) + 1 if len(c.lang) else 1
+    slot = key * langs + lang
+    by_slot = np.argsort(slot, kind="stable")
+    first = _runs(slot[by_slot])
+    enough = slot[by_slot][first][np.add.reduceat(docs[by_slot], first) >= least] if disjoint and len(first) else np.zeros(0, np.int64)
+
+    own = c.doc_key * langs + c.doc_lang
+    by_doc = np.lexsort((c.doc, own))
+    own, doc = own[by_doc], c.doc[by_doc]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+    own, doc = own[new], doc[new]
+    starts = _runs(own)
+    sizes = np.diff(starts, append=len(own))
+    settled = (doc[starts] == ENOUGH) | (sizes >= least) if len(starts) else np.zeros(0, bool)
+    enough = np.unique(np.concatenate([enough, own[starts][settled]]))
+    left = ~np.isin(own, enough)
+    doc_slot = np.concatenate([own[left], enough])
+    doc = np.concatenate([doc[left], np.full(len(enough), ENOUGH, np.int64)])
+    return Counts(key, lang, group, n, docs, doc_slot // langs, doc_slot % langs, doc)
+
+
+def _counted_chunks(least: int, limit: int):
+    """Rows (task, chunk, heads, docs) of a task's documents: lang, group, occurrences and documents; the numbers of few documents."""
+
+    def of_block(texts: list[pa.Array], langs: np.ndarray, groups: np.ndarray, task: int, first: int):
+        split = pa.concat_arrays([pc.ascii_split_whitespace(t) for t in texts])
+        lengths = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if not len(chunks):
+            return
+        # distinct chunks of every document, with counts
+        pairs, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(chunks) + codes, return_counts=True)
+        doc, code = pairs // len(chunks), pairs % len(chunks)
+        order = np.lexsort((groups[doc], code))
+        doc, code, n = doc[order], code[order], n[order]
+        width = int(groups.max()) + 1
+        at = _runs(code * width + groups[doc])
+        docs = np.diff(at, append=len(doc))
+        heads = np.stack([langs[doc[at]], groups[doc[at]], np.add.reduceat(n, at), docs], axis=1).astype(np.int32)
+        per_chunk = np.bincount(code[at], minlength=len(chunks))
+        few = np.repeat(docs < least, docs)
+        ids = (first + doc[few]).astype(np.int32)
+        per_chunk_ids = np.bincount(code[few], minlength=len(chunks))
+        columns = [pa.array(np.full(len(chunks), task, np.int32)), chunks, _binaries(heads.ravel(), per_chunk * 4), _binaries(ids, per_chunk_ids)]
+        whole = pa.RecordBatch.from_arrays(columns, names=["task", "chunk", "heads", "docs"])
+        for start in range(0, len(chunks), _ROWS):
+            yield whole.slice(start, _ROWS)
+
+    def counted(batches):
         from pyspark import TaskContext
 
-        task, block, size, numbers, docs = TaskContext.get().partitionId(), 0, 0, {}, []
+        task, first, size, texts, langs, groups = TaskContext.get().partitionId(), 0, 0, [], [], []
+        for batch in batches:
+            for piece in slices(batch, 0, limit):
+                if texts and size + piece.column(0).nbytes > limit:
+                    yield from of_block(texts, np.concatenate(langs), np.concatenate(groups), task, first)
+                    first, size, texts, langs, groups = first + sum(map(len, texts)), 0, [], [], []
+                size += piece.column(0).nbytes
+                texts.append(piece.column(0).cast(pa.string()))
+                langs.append(piece.column(1).to_numpy().astype(np.int64))
+                groups.append(piece.column(2).to_numpy().astype(np.int64))
+        if texts:
+            yield from of_block(texts, np.concatenate(langs), np.concatenate(groups), task, first)
+
+    return counted
+
+
+def _from_chunk_rows(batch: pa.RecordBatch, keys: np.ndarray, least: int) -> Counts:
+    heads, per_row = _numbers(batch.column("heads"), np.int32)
+    heads = heads.reshape(-1, 4).astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), per_row // 4)
+    ids, _ = _numbers(batch.column("docs"), np.int32)
+    counts = np.where(heads[:, 3] < least, heads[:, 3], 0)
+    task = batch.column("task").to_numpy().astype(np.int64) << 32
+    return Counts(keys[row], *heads.T, np.repeat(keys[row], counts), np.repeat(heads[:, 0], counts), np.repeat(task[row], counts) + ids)
+
+
+def _from_term_rows(batch: pa.RecordBatch, keys: np.ndarray, least: int) -> Counts:
+    heads, per_row = _numbers(batch.column("heads"), np.int64)
+    heads = heads.reshape(-1, 3)
+    docs, per_doc_row = _numbers(batch.column("docs"), np.int64)
+    docs = docs.reshape(-1, 2)
+    return Counts(np.repeat(keys, per_row // 3), *heads.T, np.zeros(len(heads), np.int64), np.repeat(keys, per_doc_row // 2), *docs.T)
+
+
+def _chunk_rows(names: pa.Array, c: Counts) -> pa.RecordBatch:
+    order = np.argsort(c.doc_key, kind="stable")
+    heads = np.stack([c.lang, c.group, c.n], axis=1)
+    docs = np.stack([c.doc_lang[order], c.doc[order]], axis=1)
+    size = lambda keys: np.bincount(keys, minlength=len(names))
+    return pa.RecordBatch.from_arrays([names, _binaries(heads.ravel(), size(c.key) * 3), _binaries(docs.ravel(), size(c.doc_key) * 2)], names=["chunk", "heads", "docs"])
+
+
+def _kept_rows(names: pa.Array, c: Counts) -> pa.RecordBatch:
+    """Entries of keys and languages with enough documents."""
+    langs = max(int(x.max()) + 1 if len(x) else 1 for x in (c.lang, c.doc_lang))
+    kept = np.isin(c.key * langs + c.lang, (c.doc_key * langs + c.doc_lang)[c.doc == ENOUGH])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c.group[kept].astype(np.int32)), names.take(pa.array(c.key[kept])), pa.array(c.n[kept])], names=["group", "term", "n"]
+    )
 
-        def flush():
-            n = len(docs) + 1
-            langs, sources, ids, counts = (list(x) for x in zip(*docs, (None, None, np.zeros(0, np.int32), np.zeros(0, np.int32)), strict=True))
-            chunks = pa.array(list(numbers), pa.binary()).cast(pa.string())
-            own = pa.ListArray.from_arrays(np.array([0] * n + [len(chunks)], np.int32), chunks)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([task] * n, pa.int32()), pa.array([block] * n, pa.int32()), pa.array(langs, pa.string()), pa.array(sources, pa.string()), _lists(ids, pa.int32()), _lists(counts, pa.int32()), own],
-                names=["task", "block", "lang", "source", "numbers", "counts", "chunks"],
-            )
 
+def _in_order(name: str, load, emit, least: int, disjoint: bool):
+    """Combines rows that come in the order of column `name`; the last key of a batch waits for the next, combined so far."""
+
+    def stream(batches):
+        waiting, key = None, None
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            for i in range(batch.num_rows):
-                data = texts[i].as_py()
-                if docs and size + len(data) > limit:
-                    yield flush()
-                    block, size, numbers, docs = block + 1, 0, {}, []
-                size += len(data)
-                found = Counter(data.split())
-                ids = np.fromiter((numbers.setdefault(c, len(numbers)) for c in found), np.int32, len(found))
-                docs.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), ids, np.fromiter(found.values(), np.int32, len(found))))
-        if docs:
-            yield flush()
-
-    return numbered
+            if not batch.num_rows:
+                continue
+            column = batch.column(name)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            names = column.filter(pa.array(new))
+            same = waiting is not None and key == names[0].as_py()
+            numbers = np.cumsum(new) - 1 + (0 if waiting is None or same else 1)
+            counts = load(batch, numbers, least)
+            if waiting is not None:
+                counts = waiting.and_then(counts)
+                names = names if same else pa.concat_arrays([pa.array([key], names.type), names])
+            counts = combined(counts, least, disjoint)
+            done = np.ones(len(names), bool)
+            done[-1] = False
+            if len(names) > 1:
+                yield emit(names[:-1], counts.of_keys(done))
+            waiting, key = counts.of_keys(~done, len(names) - 1), names[-1].as_py()
+        if waiting is not None:
+            yield emit(pa.array([key], pa.string()), waiting)
+
+    return stream
 
 
 def terms_of(chunk: Column) -> Column:
@@ -88,57 +243,31 @@ def terms_of(chunk: Column) -> Column:
     return F.regexp_extract_all(F.translate(chunk, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
 
-def _counted(key, documents: pa.Table, chunks: pa.Table) -> pa.Table:
-    """One row a language, source and term of a block: occurrences and documents."""
-    kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-    terms, places = chunks.column("terms").combine_chunks(), chunks.column("number").to_numpy()
-    if isinstance(terms, pa.ChunkedArray):
-        terms = terms.chunk(0) if terms.num_chunks else pa.array([], pa.list_(pa.string()))
-    if not len(places) or not documents.num_rows:
-        return kinds.empty_table()
-    coded = terms.flatten().dictionary_encode()
-    codes, per_chunk = coded.indices.to_numpy().astype(np.int64), terms.value_lengths().to_numpy()
-    # where the terms of each chunk number begin and how many there are
-    width = np.zeros(max(places.max() + 1, 1), np.int64)
-    width[places] = per_chunk
-    first = np.zeros_like(width)
-    first[places] = np.cumsum(per_chunk) - per_chunk
-    groups: dict[tuple[str, str], list] = {}
-    for lang, source, ids, counts in zip(*(documents.column(c) for c in ("lang", "source", "numbers", "counts")), strict=True):
-        ids, counts = ids.values.to_numpy(), counts.values.to_numpy().astype(np.int64)
-        known = ids < len(width)
-        ids, counts = ids[known], counts[known]
-        w = width[ids]
-        at = np.repeat(first[ids] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-        groups.setdefault((lang.as_py(), source.as_py()), []).append((codes[at], np.repeat(counts, w)))
-    out = []
-    for (lang, source), docs in groups.items():
-        found = [np.unique(c) for c, _ in docs]
-        n_docs = np.bincount(np.concatenate(found), minlength=len(coded.dictionary))
-        # whole numbers stay exact: a block holds far fewer than 2^53 words
-        n = np.bincount(np.concatenate([c for c, _ in docs]), np.concatenate([n for _, n in docs]), minlength=len(coded.dictionary)).astype(np.int64)
-        at = np.flatnonzero(n_docs)
-        out.append(pa.table([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), coded.dictionary.take(pa.array(at)), pa.array(n[at]), pa.array(n_docs[at])], schema=kinds))
-    return pa.concat_tables(out)
-
-
-def count_terms(df: DataFrame, stages: Stages, text: str = "text", lang: str = "lang", source: str = "source", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n, docs) of all terms, and (lang, source) of all groups."""
+def count_terms(
+    df: DataFrame, stages: Stages, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, n) of the terms that stand in `least` documents of their language, and (lang, source) of all groups."""
     blank = lambda c, name: F.coalesce(col(c).cast("string"), F.lit("")).alias(name)
     rows = df.select(blank(text, "text"), blank(lang, "lang"), blank(source, "source"))
-    blocks = stages(rows.mapInArrow(_blocks(block), _BLOCKS), "blocks")
-    documents = blocks.where("lang is not null")
-    # aliased, as the cogroup below would not tell the columns of two views of one table apart
-    chunks = blocks.where("lang is null").select(F.col("task").alias("task"), F.col("block").alias("block"), F.posexplode("chunks").alias("number", "chunk"))
-    tokenized = chunks.select("chunk").distinct().select("chunk", terms_of(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
-    numbered = chunks.join(tokenized, "chunk").select("task", "block", "number", "terms")
-    counted = (
-        documents.select("task", "block", "lang", "source", "numbers", "counts").groupBy("task", "block")
-        .cogroup(numbered.groupBy("task", "block"))
-        .applyInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    groups = stages(rows.select("lang", "source").distinct(), "groups")
+    number = lambda f, *order: (f().over(Window.orderBy(*order)) - 1).cast("int")
+    numbered = stages(groups.select("lang", "source", number(F.dense_rank, "lang").alias("l"), number(F.row_number, "lang", "source").alias("g")), "numbered")
+    small = broadcast_if_small(numbered)
+    docs = rows.join(small, ["lang", "source"]).select("text", "l", "g")
+    if small is numbered:
+        # documents are numbered by their place, which must be the same whenever a task is repeated
+        docs = stages(docs, "documents")
+    in_chunks = docs.mapInArrow(_counted_chunks(least, block), "task int, chunk string, heads binary, docs binary")
+    by_chunk = in_chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
+        _in_order("chunk", _from_chunk_rows, _chunk_rows, least, True), "chunk string, heads binary, docs binary"
+    )
+    # a term that stands in a chunk twice comes twice, with its occurrences
+    in_terms = by_chunk.select(F.explode(terms_of(F.col("chunk"))).alias("term"), "heads", "docs")
+    by_term = in_terms.repartition("term").sortWithinPartitions("term").mapInArrow(
+        _in_order("term", _from_term_rows, _kept_rows, least, False), "group int, term string, n bigint"
     )
-    total = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return stages(total, "terms"), stages(documents.select("lang", "source").distinct(), "groups")
+    named = numbered.select("lang", "source", F.col("g").alias("group"))
+    return stages(by_term.join(broadcast_if_small(named), "group").select("lang", "source", "term", "n"), "terms"), groups
 
 
 def _weight(n: str, total: str, kept: str) -> Column:
@@ -151,9 +280,8 @@ def _weight(n: str, total: str, kept: str) -> Column:
 class Weights:
     """The tables of weights that both parts of the audit read, written once."""
 
-    def __init__(self, terms: DataFrame, groups: DataFrame, stages: Stages, least: int = LEAST_DOCUMENTS):
-        whole = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least).drop("docs")
-        whole = stages(whole, "kept")
+    def __init__(self, terms: DataFrame, groups: DataFrame, stages: Stages):
+        whole = stages(terms.groupBy("lang", "term").agg(F.sum("n").alias("n")), "kept")
         langs = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("total"))
         langs = groups.select("lang").distinct().join(langs, "lang", "left").na.fill(0)
         #: lang, kept, total
@@ -224,7 +352,7 @@ def pairs(w: Weights, size: int = SOURCES, terms: int = TERMS) -> DataFrame:
 def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, top: int = TOP, block: int = BLOCK, sources: int = SOURCES, terms: int = TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the other sources, and the terms that a source has more of than its language."""
     stages = Stages(df.sparkSession, "divergence")
-    w = Weights(*count_terms(df, stages, text, lang, source, block), stages, least)
+    w = Weights(*count_terms(df, stages, text, lang, source, least, block), stages)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     first = w.terms.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     first = first.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
