@@ -11,7 +11,8 @@ from voltlane.functions.scalars import timeframes
 from voltlane.operators.kpis import drive_facts, drive_medians
 from voltlane.operators.series import drive_steps
 from voltlane.operators.sessions import charging_sessions
-from voltlane.plans.recompute import Tables, recompute, table_stage
+from voltlane.plans.recompute import Tables, recompute
+from voltlane.session import table_stage
 from voltlane.sources import events_adapter as A
 
 AS_OF = A.AS_OF

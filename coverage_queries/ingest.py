@@ -7,7 +7,7 @@ from voltlane.config import IngestLimits
 from voltlane.functions import scalars as P
 from voltlane.operators import ingest as I
 from voltlane.operators.ordering import percentile_rank
-from voltlane.plans.recompute import table_stage
+from voltlane.session import table_stage
 from voltlane.session import work_folder
 from voltlane.sources import batches as B
 from voltlane.sources import sinks

@@ -1,5 +1,7 @@
 """Sessions, KPIs, rankings, sinks."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from voltlane import constants as C
@@ -8,8 +10,9 @@ from voltlane.operators import kpis as K
 from voltlane.operators import rankings as R
 from voltlane.operators import sessions as X
 from voltlane.plans import recompute as P
-from voltlane.session import work_folder
+from voltlane.session import table_stage, work_folder
 from voltlane.sources import sinks
+from voltlane.sources.snapshots import Snapshots
 
 from .base import ALL_TOKENS, AS_OF, clamp_sql, confidence_sql, register, rounded
 
@@ -204,7 +207,7 @@ def rank_temperature(s):
 
 
 def _staged(s):
-    return P.recompute(s.tables(), AS_OF, real_storage=True, stage=P.table_stage(s.spark))
+    return P.recompute(s.tables(), AS_OF, real_storage=True, stage=table_stage(s.spark))
 
 
 @register("g07_recompute_rankings", f"SELECT {RANK_SQL} FROM ranks")
@@ -237,13 +240,13 @@ SELECT {KPI_SQL} FROM kpi_charge UNION ALL
 SELECT {KPI_SQL} FROM (SELECT * REPLACE (kpi_value + 1 AS kpi_value) FROM kpi_range)""")
 def replace_kpis(s):
     """Charging rows written twice (second run wins), range rows of the first run stay."""
-    path = work_folder(s.spark, "kpis") + "/kpi"
+    store = Snapshots(s.spark, work_folder(s.spark, "kpis"))
     rng, chg = K.range_kpis(s.steps(), AS_OF, s.tf(), real_storage=True), K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True)
     shifted = rng.unionByName(chg).withColumn("kpi_value", F.col("kpi_value") + 1.0)
     for family in (C.RANGE, C.CHARGING):
-        sinks.replace_kpis(shifted.where(F.col("ranking_type") == family), family, path)
-    sinks.replace_kpis(chg, C.CHARGING, path)
-    return rounded(sinks.read_kpis(s.spark, path).select(*KPI_COLUMNS))
+        sinks.replace_kpis(shifted.where(F.col("ranking_type") == family), family, store)
+    sinks.replace_kpis(chg, C.CHARGING, store)
+    return rounded(sinks.read_kpis(store).select(*KPI_COLUMNS))
 
 
 @register("s10_replace_rankings", f"""
@@ -251,12 +254,12 @@ SELECT {RANK_SQL} FROM (SELECT * REPLACE (CASE WHEN timeframe = '180d' THEN scor
 WHERE ranking_type = 'ev_charging_performance' AND timeframe <> '30d')""")
 def replace_rankings(s):
     """All timeframes written shifted, then all but 180d replaced, then 30d emptied; 180d stays from the first write."""
-    path = work_folder(s.spark, "rankings") + "/ranking"
+    store = Snapshots(s.spark, work_folder(s.spark, "rankings"))
     ranked = R.rank_cohorts(R.score_vehicles(K.charging_kpis(s.sessions(), AS_OF, s.tf(), real_storage=True), s.vehicles()), AS_OF, real_storage=True)
-    sinks.replace_rankings(ranked.withColumn("score", F.col("score") + 1.0), path)
-    sinks.replace_rankings(ranked.where(F.col("timeframe") != "180d"), path)
-    sinks.replace_rankings(ranked.where(F.lit(False)), path, [C.CHARGING], ["30d"])
-    return rounded(sinks.read_rankings(s.spark, path).select(*RANK_COLUMNS))
+    sinks.replace_rankings(ranked.withColumn("score", F.col("score") + 1.0), store)
+    sinks.replace_rankings(ranked.where(F.col("timeframe") != "180d"), store)
+    sinks.replace_rankings(ranked.where(F.lit(False)), store, [C.CHARGING], ["30d"])
+    return rounded(sinks.read_rankings(store).select(*RANK_COLUMNS))
 
 
 @register("s12_run_summary", """
@@ -264,3 +267,26 @@ SELECT (SELECT count(*) FROM sess) AS charging_sessions_upserted, (SELECT count(
        (SELECT count(*) FROM ranks) AS ranking_rows_upserted, (SELECT count(*) FROM veh) AS recomputed_vehicles""")
 def run_summary(s):
     return _staged(s).summary()
+
+
+@register("g07_published_runs", f"""
+SELECT session_id, vehicle_uid, status, round(avg_charge_power_kw, 6) AS avg_charge_power_kw,
+  TIMESTAMP '{AS_OF:%Y-%m-%d}' - CASE WHEN CAST(replace(vehicle_uid, 'veh-', '') AS BIGINT) % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS created_at,
+  TIMESTAMP '{AS_OF:%Y-%m-%d}' AS updated_at, NULL AS kpi_key, NULL AS timeframe, NULL AS value FROM sess
+UNION ALL SELECT NULL, vehicle_uid, NULL, NULL, NULL, NULL, kpi_key || ' ' || temperature_bin, timeframe, round(kpi_value, 6) FROM kpi
+UNION ALL SELECT NULL, vehicle_uid, ranking_type, NULL, NULL, NULL, cohort_key || ' ' || temperature_bin, timeframe, CAST(rank_position AS DOUBLE) FROM ranks""")
+def published_runs(s):
+    """Two stored runs: the first, a day earlier, knows every second vehicle only; the second keeps its sessions' creation instants."""
+    store = Snapshots(s.spark, work_folder(s.spark, "published"))
+    number = F.regexp_extract("vehicle_uid", r"(\d+)$", 1).cast("bigint")
+    even = P.Tables(*[df.where(number % 2 == 0) for df in (s.vehicles(), s.obs(), s.session_events(), s.diagnostics())])
+    P.recompute_and_publish(even, AS_OF - timedelta(days=1), store, table_stage(s.spark), real_storage=True)
+    P.recompute_and_publish(s.tables(), AS_OF, store, table_stage(s.spark), real_storage=True)
+    none = lambda kind: F.lit(None).cast(kind)
+    cells = ("session_id", "string"), ("vehicle_uid", "string"), ("status", "string"), ("avg_charge_power_kw", "double"), ("created_at", "timestamp_ntz"), ("updated_at", "timestamp_ntz"), ("kpi_key", "string"), ("timeframe", "string"), ("value", "double")
+    rows = lambda df, **own: df.select(*[own.get(c, none(kind)).cast(kind).alias(c) for c, kind in cells])
+    col = F.col
+    return rounded(
+        rows(store.read("sessions"), **{c: col(c) for c, _ in cells[:6]})
+        .unionByName(rows(sinks.read_kpis(store), vehicle_uid=col("vehicle_uid"), kpi_key=F.concat_ws(" ", "kpi_key", "temperature_bin"), timeframe=col("timeframe"), value=col("kpi_value")))
+        .unionByName(rows(sinks.read_rankings(store), vehicle_uid=col("vehicle_uid"), status=col("ranking_type"), kpi_key=F.concat_ws(" ", "cohort_key", "temperature_bin"), timeframe=col("timeframe"), value=col("rank_position"))))

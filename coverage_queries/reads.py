@@ -10,7 +10,7 @@ from voltlane.operators import design as D
 from voltlane.operators import quality as V
 from voltlane.operators import reads as Q
 from voltlane.plans import recompute as P
-from voltlane.session import work_folder
+from voltlane.session import table_stage, work_folder
 from voltlane.sources import sinks
 
 from .base import AS_OF, CTES, clamp_sql, register, rounded
@@ -24,7 +24,7 @@ def snapshots(s):
     """Derived tables of one recompute, written once per session and folder, then read back."""
     key = (s.spark.sparkContext.applicationId, s.sf_dir)
     if key not in _SNAPSHOTS:
-        _SNAPSHOTS[key] = P.recompute(s.tables(), AS_OF, real_storage=True, stage=P.table_stage(s.spark))
+        _SNAPSHOTS[key] = P.recompute(s.tables(), AS_OF, real_storage=True, stage=table_stage(s.spark))
     return _SNAPSHOTS[key]
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from voltlane.operators import ingest as I
 from voltlane.operators import reads as Q
 from voltlane.functions.scalars import timeframes, to_real
-from voltlane.plans.recompute import Tables, recompute, table_stage
+from voltlane.plans.recompute import Tables, recompute
+from voltlane.session import table_stage
 from voltlane.sources import batches as B
 from voltlane.sources.sinks import check_kpi_rows
 

@@ -13,7 +13,9 @@ from voltlane import constants as C
 from voltlane.functions.scalars import timeframes
 from voltlane.operators import series as S
 from voltlane.operators.kpis import drive_facts, drive_medians
-from voltlane.operators.ordering import distributed_rank, exact_median, percentile_rank, running_totals
+from voltlane.operators.ordering import DIGITS, distributed_rank, exact_median, order_bits, percentile_rank, running_totals
+from voltlane.operators.series import drive_steps
+from voltlane.operators.sessions import covering_blocks, observations_in_windows
 
 START = datetime(2024, 1, 1)
 AS_OF = datetime(2024, 2, 3)
@@ -216,3 +218,71 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     assert scans
     for scan in scans:
         assert "GreaterThanOrEqual(observed_at" in scan and "In(signal_key" in scan and "unused" not in scan
+
+
+def test_order_bits(spark):
+    import struct
+
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.0000000000000002, 0.9999999999999999, 2.0, 3.999999999, 4.0, 1e300, 1.7976931348623157e308, 100.0, 100.001, 1 / 3, 0.1, 8.0 - 2**-50]
+    values += [-v for v in values]
+    got = {r.v: r.b for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", order_bits(F.col("v")).alias("b")).collect()}
+    for v in values:
+        assert abs(got[v]) == struct.unpack(">q", struct.pack(">d", abs(v)))[0] and (got[v] < 0) == (v < 0)
+
+
+def test_median_of_values_that_lie_close_together(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit("k").alias("k"), (100.0 + F.pmod(F.col("id") * 7919, F.lit(n)) / 1e8).alias("v"))
+    spread = df.select(F.shiftright(order_bits(F.col("v")), DIGITS[1]).alias("b")).groupBy("b").count()
+    assert spread.agg(F.max("count")).first()[0] < 100 and spread.count() > 1_000
+    values = sorted(100.0 + i / 1e8 for i in range(n))
+    got = exact_median(df, ["k"], "v").first()
+    assert got.median == (values[n // 2 - 1] + values[n // 2]) / 2 and got.n == n
+
+
+def test_median_whose_middles_part_at_every_digit(spark):
+    rows = [("a", 1.0), ("a", 1e9), ("b", 100.0), ("b", 100.0000001), ("c", 1.0), ("c", 1.0), ("c", 2.0), ("c", 2.0), ("d", -1e-9), ("d", 1e-9), ("e", 7.0)]
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", digits=(60, 50, 40, 30, 20, 10)).collect()}
+    assert got == {"a": (1.0 + 1e9) / 2, "b": (100.0 + 100.0000001) / 2, "c": 1.5, "d": 0.0, "e": 7.0}
+
+
+def test_blocks_cover_a_window_once(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = [(a, a + r.choice([0, 1, 5, 30, 200, 8760, 90_000])) for a in (r.randint(0, 500_000) for _ in range(60))] + [(3, 4), (0, 15), (4, 7), (1, 14)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", covering_blocks(F.col("a"), F.col("b")).alias("c")).collect()
+    for x in rows:
+        covered = []
+        for c in x.c:
+            size = 4**c.level
+            covered += [(c.block * size, (c.block + 1) * size - 1)]
+        covered.sort()
+        assert covered[0][0] == x.a and covered[-1][1] == x.b and all(p[1] + 1 == q[0] for p, q in zip(covered, covered[1:]))
+        assert len(x.c) <= 45
+
+
+def test_a_session_that_stays_open_meets_its_readings(spark):
+    start = datetime(2024, 1, 1)
+    windows = spark.createDataFrame(
+        [("v", "open", start, None), ("v", "short", start + timedelta(hours=5), start + timedelta(hours=5, minutes=30)), ("w", "day", start, start + timedelta(days=1))],
+        "vehicle_uid string, session_id string, started_at timestamp_ntz, ended_at timestamp_ntz")
+    obs = spark.range(-50, 2_000).select(
+        F.when(F.col("id") % 2 == 0, "v").otherwise("w").alias("vehicle_uid"), F.col("id").cast("string").alias("observation_id"), F.lit("ev.soc_pct").alias("signal_key"),
+        F.lit(1.0).alias("value_number"), F.lit(None).cast("string").alias("value_string"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int") * 5)).alias("observed_at")).withColumn("ingested_at", F.col("observed_at"))
+    got = observations_in_windows(obs, windows, datetime(2025, 1, 1))
+    n = {r.session_id: r["count"] for r in got.groupBy("session_id").count().collect()}
+    assert n == {"open": sum(1 for i in range(0, 2_000, 2) if i * 5 <= 366 * 24), "day": sum(1 for i in range(1, 2_000, 2) if i * 5 <= 24)}
+    assert got.select("session_id", "observation_id").distinct().count() == got.count()
+
+
+def test_drive_steps_shuffle_readings_once(spark):
+    obs = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        F.col("user_id").cast("string").alias("vehicle_uid"), F.lit("ev.soc_pct").alias("signal_key"), F.col("value").alias("value_number"),
+        F.col("ts").alias("observed_at"), F.col("ts").alias("ingested_at"), F.col("event_id").cast("string").alias("observation_id"))
+    plan = drive_steps(obs, timeframes(datetime(2024, 3, 1)))._jdf.queryExecution().executedPlan().toString()
+    # readings are dealt once for the steps and, the same way, once for what enters each hour; the rest are hour ends
+    big = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_COL" in line]
+    assert len(big) == 2 and len({line[line.index("Exchange"):].split(", [plan_id")[0].split("#")[0] for line in big}) == 1
+    assert "observed_at" not in "".join(line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line)

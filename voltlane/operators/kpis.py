@@ -19,6 +19,7 @@ from ..functions.scalars import (
     range_score,
     to_real,
 )
+from ..session import Stage
 from .ordering import exact_median
 from .series import (
     delta_accepted,
@@ -34,9 +35,13 @@ VT = ["vehicle_uid", "timeframe"]
 
 
 # ---- wide building blocks ---------------------------------------------------------------
-def drive_medians(filled: DataFrame, tf: list[Timeframe], kwh: float = C.USABLE_BATTERY_KWH) -> DataFrame:
+def drive_medians(filled: DataFrame, tf: list[Timeframe], kwh: float = C.USABLE_BATTERY_KWH, stage: Stage | None = None) -> DataFrame:
     """Exact medians and counts of every drive series, one row per (vehicle, timeframe)."""
-    medians = exact_median(series_points(filled, tf, kwh), ["vehicle_uid", "series"], "value", labels="timeframes")
+    return medians_of(series_points(filled, tf, kwh), stage)
+
+
+def medians_of(points: DataFrame, stage: Stage | None = None) -> DataFrame:
+    medians = exact_median(points, ["vehicle_uid", "series"], "value", labels="timeframes", stage=stage)
     picks = []
     for s in ("km", "wh", "urban", "highway", "cold", "mild"):
         mine = F.col("series") == s
@@ -51,6 +56,11 @@ def drive_facts(filled: DataFrame, tf: list[Timeframe]) -> DataFrame:
     Latest SOC, integrated energy, distance per temperature group and regression slope;
     one output row per (vehicle, timeframe).
     """
+    return facts_of(drive_fact_rows(filled), tf)
+
+
+def drive_fact_rows(filled: DataFrame) -> DataFrame:
+    """What a step adds to the facts: temperature point and held power, each with the instant its timeframes must reach."""
     km = F.col("odo") - F.col("prev_odo")
     soc = F.col("prev_soc") - F.col("soc")
     ratio = F.when(delta_accepted(km, soc), km_per_soc_of(km, soc))
@@ -60,20 +70,25 @@ def drive_facts(filled: DataFrame, tf: list[Timeframe]) -> DataFrame:
     def energy(kw: Column) -> Column:
         return F.when(is_finite(kw) & (kw > 0.0), kw * (F.col("_gap") / 3600.0) * 1000.0)
 
-    rows = (
+    return (
         filled.select(
-            "vehicle_uid", "soc", "soc_at", "temp", "prev_power", km.alias("_km"), ratio.alias("_ratio"),
+            *[c for c in ("vehicle_uid", "bucket") if c in filled.columns], "soc", "soc_at", "temp", "prev_power",
+            km.alias("_km"), ratio.alias("_ratio"),
             F.when(ratio.isNotNull(), earliest_of(*[F.col(f"prev_{c}_at") for c in ("odo", "soc", "temp")])).alias("_t_since"),
             F.when(held, F.col("prev_power_at")).alias("_p_since"),
             F.when(held, gap).alias("_gap"),
         )
         .withColumn("_regen", energy(F.col("prev_power.regen")))
         .withColumn("_traction", energy(F.col("prev_power.traction")))
-        .withColumn("_group", temperature_bucket_of(F.col("temp")))
+        .drop("prev_power", "_gap")
     )
+
+
+def facts_of(rows: DataFrame, tf: list[Timeframe]) -> DataFrame:
+    rows = rows.withColumn("_group", temperature_bucket_of(F.col("temp")))
     packs = []
     for t in tf:
-        cut = instant(t.cutoff, filled, "observed_at")
+        cut = instant(t.cutoff, rows, "soc_at")
         drive, power = F.col("_t_since") >= cut, F.col("_p_since") >= cut
         y, x = F.when(drive, F.col("_ratio")), F.when(drive, F.col("temp"))
         total = lambda hit, c: F.coalesce(F.sum(F.when(hit, c)), F.lit(0.0))
@@ -89,7 +104,7 @@ def drive_facts(filled: DataFrame, tf: list[Timeframe]) -> DataFrame:
                 F.count_if(power & (F.col("_regen").isNotNull() | F.col("_traction").isNotNull())).alias("power_windows"),
             )
         )
-    kind = filled.schema["observed_at"].dataType.simpleString()
+    kind = rows.schema["soc_at"].dataType.simpleString()
     return (
         rows.groupBy("vehicle_uid")
         .agg(
@@ -151,7 +166,7 @@ CHARGING_KEYS = {
 }
 
 
-def charge_power_buckets(sess: DataFrame, tf: list[Timeframe]) -> DataFrame:
+def charge_power_buckets(sess: DataFrame, tf: list[Timeframe], stage: Stage | None = None) -> DataFrame:
     """Median average power and session count of all, cold and mild sessions.
 
     Only sessions with a positive finite power *and* a temperature bin count, also for "all".
@@ -172,7 +187,7 @@ def charge_power_buckets(sess: DataFrame, tf: list[Timeframe]) -> DataFrame:
         )
         .where(F.size("timeframes") > 0)
     )
-    medians = exact_median(points, ["vehicle_uid", "series"], "value", labels="timeframes")
+    medians = exact_median(points, ["vehicle_uid", "series"], "value", labels="timeframes", stage=stage)
     picks = []
     for s in ("all", "cold", "mild"):
         mine = F.col("series") == s

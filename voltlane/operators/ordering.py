@@ -8,6 +8,7 @@ are combined first, the detail work then runs per (key, bucket). Results are exa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,25 @@ def value_bucket(c: Column, resolution: int = RESOLUTION) -> Column:
     return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * F.lit(resolution))).cast("bigint")
 
 
+def order_bits(c: Column) -> Column:
+    """The bits of a finite double as a whole number that grows with it; 0.0 and -0.0 are equal.
+
+    Exponent and fraction come from exact operations only (scaling by powers of two).
+    """
+    size = F.abs(c)
+    # never below the exponent of the smallest normal number, so subnormal ones follow the same rule
+    guess = F.greatest(F.floor(F.log2(F.when(size > 0.0, size).otherwise(1.0))).cast("int"), F.lit(-1022))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    low = F.when((size < power(guess)) & (guess > -1022), guess - 1).when((guess < 1023) & (size / power(guess) >= 2.0), guess + 1).otherwise(guess)
+    exponent = F.when(size < power(F.lit(-1022)), F.lit(-1022)).otherwise(low)
+    bits = (exponent + 1022).cast("bigint") * F.lit(1 << 52) + (size / power(exponent) * float(1 << 52)).cast("bigint")
+    return F.when(c < 0.0, -bits).otherwise(bits)
+
+
+# Bits left below the first and the second digit of a value. The last digit has a fixed number of
+# values, so what one task sorts is bounded whatever the data.
+DIGITS = (40, 20)
+
 
 def exact_median(
     points: DataFrame,
@@ -33,59 +53,61 @@ def exact_median(
     value: str = "value",
     labels: str | None = None,
     label_name: str = "timeframe",
+    digits: Sequence[int] = DIGITS,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Exact median and count per key: (keys..., [label_name], median, n).
 
     ``labels`` may name an array column: a point then counts for each of its labels
     (for example the timeframes it falls into) without being copied before the shuffle.
-    Non-finite values are left out. Equal values are collapsed to counts map-side; a
-    histogram finds the bucket with the middle, and only that bucket is sorted.
+    Non-finite values are left out. Equal values are collapsed to counts map-side. Then
+    the middle is found digit by digit in the order-preserving bits of the values: a
+    histogram of a digit tells where the middle lies, and only values with that digit go
+    on. What remains after the last digit is sorted; however close values lie together,
+    that is at most ``2 ** digits[-1]`` distinct ones a group. The collapsed values are
+    written once by ``stage`` (default: :func:`table_stage`), as every digit reads them again.
     """
     keys = list(keys)
-    bucketed = points.where(is_finite(F.col(value))).withColumn("_b", value_bucket(F.col(value)))
+    group = [*keys, label_name] if labels else keys
     span = [labels] if labels else []
-    counted = (
-        bucketed.groupBy(*keys, "_b", value, *span)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .repartition(*[F.col(k) for k in [*keys, "_b"]])
-    )
-    histogram = counted.groupBy(*keys, "_b", *span).agg(F.sum("_n").alias("_n"))
-    group = list(keys)
+    bits = order_bits(F.col(value))
+    named = [f"_b{i}" for i in range(len(digits))]
+    stage = stage or table_stage(points.sparkSession)
+    counted = points.where(is_finite(F.col(value))).groupBy(*keys, value, *span).agg(F.count(F.lit(1)).alias("_n"))
+    rest = stage(counted.withColumns({b: F.shiftright(bits, d) for b, d in zip(named, digits, strict=True)}), f"values-{uuid.uuid4().hex}")
+    first = rest.groupBy(*keys, named[0], *span).agg(F.sum("_n").alias("_n"))
     if labels:
-        histogram = (
-            histogram.withColumn(label_name, F.explode(labels))
-            .groupBy(*keys, label_name, "_b")
-            .agg(F.sum("_n").alias("_n"))
-        )
-        group.append(label_name)
-
-    by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        first = first.withColumn(label_name, F.explode(labels)).groupBy(*group, named[0]).agg(F.sum("_n").alias("_n"))
     whole = Window.partitionBy(*group)
-    middle = (
-        histogram.withColumn("_upto", F.sum("_n").over(by_bucket))
-        .withColumn("_all", F.sum("_n").over(whole))
-        .withColumn("_lo", F.floor((F.col("_all") + 1) / 2))
-        .withColumn("_hi", F.floor(F.col("_all") / 2) + 1)
-        .where(_holds_rank("_upto", "_n"))
-        .select(*group, "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_all", "_lo", "_hi")
+    middle = _digit_of_middle(
+        first.withColumn("_all", F.sum("_n").over(whole)).withColumns({"_before": F.lit(0), "_lo": F.floor((F.col("_all") + 1) / 2), "_hi": F.floor(F.col("_all") / 2) + 1}),
+        group, [named[0]],
     )
-
-    inside = counted.join(middle, [*keys, "_b"])
+    rest = rest.join(middle, [*keys, named[0]])
     if labels:
-        inside = inside.where(F.array_contains(F.col(labels), F.col(label_name)))
-    by_value = (
-        Window.partitionBy(*keys, "_b", *(group[len(keys):]))
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    picked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(by_value)).where(
-        _holds_rank("_upto", "_n")
-    )
+        rest = rest.where(F.array_contains(F.col(labels), F.col(label_name))).drop(labels)
+    for i in range(1, len(digits)):
+        path = named[: i + 1]
+        # the ranks are part of the key, so that a group whose two middles part goes on with both
+        histogram = rest.groupBy(*group, *path, "_before", "_all", "_lo", "_hi").agg(F.sum("_n").alias("_n"))
+        rest = rest.drop("_before", "_all", "_lo", "_hi").join(_digit_of_middle(histogram, group, path), [*group, *path])
+    by_value = Window.partitionBy(*group, *named).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    picked = rest.withColumn("_upto", F.col("_before") + F.sum("_n").over(by_value)).where(_holds_rank("_upto", "_n"))
     return picked.groupBy(*group).agg(
         ((F.min(value) + F.max(value)) / 2.0).alias("median"), F.max("_all").alias("n")
     )
 
 
+def _digit_of_middle(histogram: DataFrame, group: list[str], path: list[str]) -> DataFrame:
+    """Digits that hold a middle rank, and the number of values before them.
+
+    ``_before`` counts the values before all that share the digits above the last one of ``path``.
+    """
+    by_digit = Window.partitionBy(*group, *path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    upto = histogram.withColumn("_upto", F.col("_before") + F.sum("_n").over(by_digit)).where(_holds_rank("_upto", "_n"))
+    return upto.select(*group, *path, (F.col("_upto") - F.col("_n")).alias("_before"), "_all", "_lo", "_hi")
+
+
 def _holds_rank(upto: str, n: str) -> Column:
     before = F.col(upto) - F.col(n)
     holds = lambda rank: (F.col(upto) >= F.col(rank)) & (before < F.col(rank))

@@ -26,6 +26,7 @@ from ..functions.scalars import (
 )
 
 BUCKET_SECONDS = 3600
+SLOT = ["vehicle_uid", "bucket"]
 DRIVE_SIGNALS = {
     "odo": C.ODOMETER,
     "soc": C.SOC,
@@ -34,6 +35,7 @@ DRIVE_SIGNALS = {
     "regen": C.REGEN,
     "traction": C.TRACTION,
 }
+DRIVE_STATE = ["odo", "soc", "speed", "temp", "power"]
 
 
 def time_bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
@@ -57,8 +59,9 @@ def pivot_snapshots(
 ) -> DataFrame:
     """One row per (vehicle, instant) with one column per signal; the last ingested value wins.
 
-    Null values never replace a value. Partial aggregation collapses copies of the same
-    instant before the shuffle.
+    Null values never replace a value. Readings are dealt by (vehicle, time bucket) before they
+    are aggregated: the aggregate and all windows per (vehicle, bucket) then share this one
+    shuffle and its order.
     """
     age = F.struct("ingested_at", "observation_id")
     picks = []
@@ -67,26 +70,36 @@ def pivot_snapshots(
         picks.append(F.max_by(F.when(mine, F.col("value_number")), F.when(mine, age)).alias(name))
     return (
         obs.where(F.col("signal_key").isin(list(signals.values())))
-        .groupBy("vehicle_uid", time_bucket(F.col("observed_at"), bucket_seconds).alias("bucket"), "observed_at")
+        .select(
+            "vehicle_uid", time_bucket(F.col("observed_at"), bucket_seconds).alias("bucket"), "observed_at", "signal_key",
+            "value_number", "ingested_at", "observation_id",
+        )
+        .repartition(*SLOT)
+        .groupBy(*SLOT, "observed_at")
         .agg(*picks)
     )
 
 
-def carry_forward(snaps: DataFrame, cols) -> DataFrame:
-    """Last known value of each column up to an instant, and strictly before it.
+def _known(cols) -> dict[str, Column]:
+    return {c: F.when(F.col(c).isNotNull(), F.struct(F.col("observed_at").alias("at"), F.col(c).alias("v"))) for c in cols}
 
-    Adds for every ``c``: ``c`` (filled), ``c_at`` (its instant), ``prev_c``, ``prev_c_at``.
-    """
-    cols = list(cols)
-    slot = ["vehicle_uid", "bucket"]
-    snaps = snaps.repartition(*slot)
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("observed_at").alias("at"), F.col(c).alias("v"))) for c in cols}
 
+def bucket_ends(snaps: DataFrame, cols) -> DataFrame:
+    """Last known value of each column in a bucket, as struct(at, v)."""
+    known = _known(cols)
+    return snaps.groupBy(*SLOT).agg(*[F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col("observed_at"))).alias(c) for c in cols])
+
+
+def carried_in(ends: DataFrame, cols) -> DataFrame:
+    """State that enters each bucket: ``_in_<c>``, from the ends of all earlier ones."""
     earlier = Window.partitionBy("vehicle_uid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_ends = snaps.groupBy(*slot).agg(*[F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col("observed_at"))).alias(c) for c in cols])
-    carried = bucket_ends.select(*slot, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in cols])
+    return ends.select(*SLOT, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in cols])
 
-    inside = Window.partitionBy(*slot).orderBy("observed_at")
+
+def fill(snaps: DataFrame, carried: DataFrame, cols) -> DataFrame:
+    """Snapshots with the state up to and strictly before each instant, given what enters their buckets."""
+    known = _known(cols)
+    inside = Window.partitionBy(*SLOT).orderBy("observed_at")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     others = [c for c in snaps.columns if c not in cols]
@@ -95,7 +108,7 @@ def carry_forward(snaps: DataFrame, cols) -> DataFrame:
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_cur_{c}") for c in cols],
         *[F.last(c, ignorenulls=True).over(before).alias(f"_pre_{c}") for c in cols],
     )
-    joined = local.join(carried, slot)
+    joined = local.join(carried, SLOT)
     out = []
     for c in cols:
         cur = F.coalesce(f"_cur_{c}", f"_in_{c}")
@@ -107,6 +120,15 @@ def carry_forward(snaps: DataFrame, cols) -> DataFrame:
     return joined.select(*others, *out)
 
 
+def carry_forward(snaps: DataFrame, cols) -> DataFrame:
+    """Last known value of each column up to an instant, and strictly before it.
+
+    Adds for every ``c``: ``c`` (filled), ``c_at`` (its instant), ``prev_c``, ``prev_c_at``.
+    """
+    cols = list(cols)
+    return fill(snaps, carried_in(bucket_ends(snaps, cols), cols), cols)
+
+
 def earliest_of(*instants: Column) -> Column:
     """Smallest of several instants; null as soon as one is missing."""
     present = instants[0].isNotNull()
@@ -249,8 +271,11 @@ def sum_power(windows: DataFrame, tf: list[Timeframe]) -> DataFrame:
 def drive_steps(obs: DataFrame, tf: list[Timeframe], bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """All drive signals pivoted and carried forward once; feeds every drive KPI."""
     rows = select_signals(obs, DRIVE_SIGNALS.values(), tf)
-    snaps = with_power(pivot_snapshots(rows, DRIVE_SIGNALS, bucket_seconds))
-    return carry_forward(snaps, ["odo", "soc", "speed", "temp", "power"])
+    return carry_forward(drive_snapshots(rows, bucket_seconds), DRIVE_STATE)
+
+
+def drive_snapshots(rows: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    return with_power(pivot_snapshots(rows, DRIVE_SIGNALS, bucket_seconds))
 
 
 def temperature_points(filled: DataFrame) -> DataFrame:
@@ -300,10 +325,10 @@ def max_value(c: Column) -> Column:
     return F.max(F.when(is_finite(c), c))
 
 
-def series_points(filled: DataFrame, tf: list[Timeframe], kwh: float) -> DataFrame:
-    """Long table of every value that a drive KPI takes the median of.
+def drive_points(filled: DataFrame, kwh: float) -> DataFrame:
+    """Long table of every value that a drive KPI takes the median of, with the instant its timeframes must reach.
 
-    (vehicle_uid, series, value, timeframes) with series km, wh, urban, highway, cold, mild.
+    (vehicle_uid, bucket, series, value, since) with series km, wh, urban, highway, cold, mild.
     """
     km, soc = F.col("delta_km"), F.col("delta_soc")
     ratio, wh = km_per_soc_of(km, soc), wh_per_km(soc, km, kwh)
@@ -325,9 +350,15 @@ def series_points(filled: DataFrame, tf: list[Timeframe], kwh: float) -> DataFra
             point(group, ratio, with_temp),
         )
     )
-    return (
-        gated.select("vehicle_uid", F.explode(points).alias("p"))
-        .select("vehicle_uid", "p.series", "p.value", "p.since")
-        .select("vehicle_uid", "series", "value", matching_timeframes(F.col("since"), filled, "observed_at", tf).alias("timeframes"))
-        .where(F.size("timeframes") > 0)
-    )
+    return gated.select(*SLOT, F.explode(points).alias("p")).select(*SLOT, "p.series", "p.value", "p.since")
+
+
+def series_points(filled: DataFrame, tf: list[Timeframe], kwh: float) -> DataFrame:
+    """The same with the timeframes of each value: (vehicle_uid, series, value, timeframes)."""
+    return labelled_points(drive_points(filled, kwh), tf)
+
+
+def labelled_points(points: DataFrame, tf: list[Timeframe]) -> DataFrame:
+    return points.select(
+        "vehicle_uid", "series", "value", matching_timeframes(F.col("since"), points, "since", tf).alias("timeframes")
+    ).where(F.size("timeframes") > 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.scalars import charger_type, instant, is_finite, temperature_bin, to_real, whole_seconds_between
+from ..functions.sizes import broadcast_if_small
+from ..session import Stage, table_stage
 from .series import time_bucket
 
 SESSION_SIGNALS = (C.SOC, C.CHARGE_POWER, C.BATTERY_POWER, C.AMBIENT, C.BATTERY_TEMP, C.CHARGER_TYPE)
@@ -29,30 +32,72 @@ def session_windows(events: DataFrame) -> DataFrame:
     )
 
 
+#: A block of the next level is 2 ** FAN_OUT_BITS blocks of the one below; the highest holds everything after it.
+FAN_OUT_BITS = 2
+LEVELS = 14
+
+
+def covering_blocks(first: Column, last: Column, bits: int = FAN_OUT_BITS, levels: int = LEVELS) -> Column:
+    """The fewest aligned blocks that cover slots ``first`` to ``last``, as array<struct<level, block>>.
+
+    From the lowest level up, blocks that do not fill a block of the next level are listed at both ends, and what is
+    between them goes on a level higher. So a window of n slots has O(log n) blocks, and a slot lies in one of them only.
+    """
+    fan = 1 << bits
+    block = lambda level, b: F.struct(level.alias("level"), b.alias("block"))
+    run = lambda level, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda x: block(level, x))).otherwise(none)
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+
+    def step(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        # whole blocks of the next level between the ends
+        up, down = F.floor((a + fan - 1) / fan).cast("bigint"), F.floor((b + 1) / fan).cast("bigint") - 1
+        top = level == levels - 1
+        inner = (up <= down) & ~top
+        ends = F.when(inner, F.concat(run(level, a, up * fan - 1), run(level, (down + 1) * fan, b))).otherwise(run(level, a, b))
+        going = F.when(inner, up).otherwise(F.lit(1).cast("bigint")), F.when(inner, down).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(going[0].alias("a"), going[1].alias("b"), F.concat(state["out"], ends).alias("out"))
+
+    start = F.struct(first.cast("bigint").alias("a"), last.cast("bigint").alias("b"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda state: state["out"])
+
+
 def observations_in_windows(
     obs: DataFrame, windows: DataFrame, as_of: datetime, bucket_seconds: int = BUCKET_SECONDS
 ) -> DataFrame:
     """Readings of a vehicle inside its session windows, both ends included.
 
     Matched by vehicle and time, not by session id. An open session reaches to ``as_of``.
-    The equality part of the join is (vehicle, time bucket): windows are listed once per
-    bucket they touch, so a vehicle with very many readings is spread over its buckets.
+    The equality part of the join is (vehicle, level, block of time buckets): a window is listed once for each block
+    that covers it, and a reading looks for the blocks it lies in. A vehicle with very many readings is
+    so spread over its time buckets, and a session that stays open for years is a few dozen rows. Readings look
+    on higher levels only for vehicles with a window there, and only on levels that any window has.
     """
     close = F.coalesce(F.col("ended_at"), instant(as_of, windows, "started_at"))
     first, last = time_bucket(F.col("started_at"), bucket_seconds), time_bucket(F.col("_close"), bucket_seconds)
     spread = (
         windows.withColumn("_close", close)
         .where(F.col("_close") >= F.col("started_at"))
-        .select("vehicle_uid", "session_id", "started_at", "_close", F.explode(F.sequence(first, last)).alias("_slot"))
+        .select("vehicle_uid", "session_id", "started_at", "_close", F.explode(covering_blocks(first, last)).alias("_c"))
+        .select("vehicle_uid", "session_id", "started_at", "_close", F.col("_c.level").alias("_level"), F.col("_c.block").alias("_slot"))
     )
+    levels = sorted(r[0] for r in spread.select("_level").distinct().collect())
     readings = obs.where(F.col("signal_key").isin(list(SESSION_SIGNALS))).select(
         "vehicle_uid", "observation_id", "signal_key", "value_number", "value_string", "observed_at",
         "ingested_at", time_bucket(F.col("observed_at"), bucket_seconds).alias("_slot"),
     )
+    on_level = lambda rows, level: rows.withColumns({"_level": F.lit(level), "_slot": F.shiftright("_slot", FAN_OUT_BITS * level)})
+    probes = on_level(readings, 0)
+    higher = [level for level in levels if level]
+    if higher:
+        there = spread.where(F.col("_level") > 0).select("vehicle_uid").distinct()
+        some = readings.join(broadcast_if_small(there), "vehicle_uid", "left_semi")
+        some = some.withColumn("_level", F.explode(F.array(*[F.lit(level) for level in higher])))
+        probes = probes.unionByName(some.withColumn("_slot", F.expr(f"shiftright(_slot, {FAN_OUT_BITS} * _level)")))
     return (
-        readings.join(spread, ["vehicle_uid", "_slot"])
+        probes.join(spread, ["vehicle_uid", "_level", "_slot"])
         .where(F.col("observed_at").between(F.col("started_at"), F.col("_close")))
-        .drop("_slot", "_close", "started_at")
+        .drop("_level", "_slot", "_close", "started_at")
     )
 
 
@@ -102,10 +147,14 @@ def session_metrics(windows: DataFrame, matched: DataFrame, real_storage: bool =
 
 def charging_sessions(
     obs: DataFrame, events: DataFrame, as_of: datetime, real_storage: bool = False,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int = BUCKET_SECONDS, stage: Stage | None = None,
 ) -> DataFrame:
-    """Windows, readings inside them and metrics, with audit instants."""
-    windows = session_windows(events)
+    """Windows, readings inside them and metrics, with audit instants.
+
+    Windows are written once by ``stage`` (default: :func:`table_stage`), as they are read several times.
+    """
+    stage = stage or table_stage(events.sparkSession)
+    windows = stage(session_windows(events), f"windows-{uuid.uuid4().hex}")
     rows = session_metrics(windows, observations_in_windows(obs, windows, as_of, bucket_seconds), real_storage)
     now = instant(as_of, windows, "started_at")
     return rows.withColumn("created_at", now).withColumn("updated_at", now)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -15,8 +14,10 @@ from ..functions.scalars import timeframes
 from ..operators import kpis as K
 from ..operators import rankings as R
 from ..operators.series import drive_steps
-from ..operators.sessions import charging_sessions
-from ..session import table_stage  # noqa: F401  (re-exported)
+from ..operators.sessions import charging_sessions, upsert_sessions
+from ..session import Stage
+from ..sources.sinks import check_kpi_rows, ranking_parts
+from ..sources.snapshots import Snapshots
 
 
 @dataclass
@@ -48,23 +49,27 @@ def recompute(
     gates: TemperatureGates = TemperatureGates(),
     gate: int = C.COHORT_GATE,
     real_storage: bool = False,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Stage | None = None,
+    stored_sessions: DataFrame | None = None,
 ) -> Results:
     """All derived tables for all vehicles and timeframes at once.
 
-    With ``stage`` (see :func:`table_stage`) shared intermediate results are written
+    With ``stage`` (see :func:`voltlane.session.table_stage`) shared intermediate results are written
     once; without it everything stays one lazy plan and Spark reuses equal exchanges.
+    Sessions of an earlier run (``stored_sessions``) keep their id, vehicle and creation instant, and stay if the
+    events no longer name them.
     """
     keep = stage or (lambda df, name: df)
     tf = timeframes(as_of, tokens)
 
-    sess = keep(charging_sessions(tables.observations, tables.session_events, as_of, real_storage), "sessions")
+    sess = charging_sessions(tables.observations, tables.session_events, as_of, real_storage, stage=stage)
+    sess = keep(sess if stored_sessions is None else upsert_sessions(stored_sessions, sess), "sessions")
     filled = drive_steps(tables.observations, tf)
     if stage:
         filled = keep(filled, "drive_steps")
-    medians = keep(K.drive_medians(filled, tf, kwh), "drive_medians")
+    medians = keep(K.drive_medians(filled, tf, kwh, stage), "drive_medians")
     facts = keep(K.drive_facts(filled, tf), "drive_facts")
-    buckets = keep(K.charge_power_buckets(sess, tf), "charge_buckets")
+    buckets = keep(K.charge_power_buckets(sess, tf, stage), "charge_buckets")
 
     base = keep(
         K.to_kpi_rows(K.charging_wide(buckets, gates), C.CHARGING, K.CHARGING_KEYS, as_of, real_storage)
@@ -85,6 +90,27 @@ def recompute(
     return Results(sess, kpis, keep(rankings, "rankings"), tables.vehicle)
 
 
+RANKED_FAMILIES = (C.RANGE, C.CHARGING, C.TEMPERATURE, C.COMPOSITE)
+
+
+def recompute_and_publish(tables: Tables, as_of: datetime, store: Snapshots, stage: Stage, **options) -> DataFrame:
+    """A full run whose results are stored: sessions merged with the stored ones, KPIs and rankings replaced by family.
+
+    Everything becomes visible at once, with the summary of the run, which is returned. A failed run changes nothing.
+    """
+    results = recompute(tables, as_of, stage=stage, stored_sessions=store.read("sessions"), **options)
+    kpis, rankings = stage(results.kpis, "published_kpis"), results.rankings
+    summary = Results(results.sessions, kpis, rankings, tables.vehicle).summary()
+    of = lambda rows, family: rows.where(F.col("ranking_type") == family)
+    store.publish({
+        "sessions": {"all": results.sessions},
+        "kpis": {family: check_kpi_rows(of(kpis, family), family) for family in RANKED_FAMILIES},
+        "rankings": ranking_parts(rankings, RANKED_FAMILIES, options.get("tokens", C.LOCKED_TIMEFRAMES)),
+        "runs": {as_of.strftime("%Y%m%dT%H%M%S"): summary.withColumn("as_of", F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))},
+    })
+    return store.read("runs", [as_of.strftime("%Y%m%dT%H%M%S")])
+
+
 def run_summary(sess: DataFrame, kpis: DataFrame, ranks: DataFrame, vehicle: DataFrame) -> DataFrame:
     """Row counts of a run in one row; each input is reduced to its count first."""
     parts = {

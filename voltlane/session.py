@@ -65,3 +65,21 @@ def table_stage(spark: SparkSession, folder: str | None = None) -> Stage:
         return spark.read.parquet(path)
 
     return stage
+
+
+def hadoop_folder(spark: SparkSession, path: str):
+    """The file system that ``path`` names, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder, in whatever file system ``path`` names."""
+    files, at = hadoop_folder(spark, path)
+    files.mkdirs(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job of this library wrote; nothing where there is none."""
+    files, at = hadoop_folder(spark, path)
+    files.delete(at, True)

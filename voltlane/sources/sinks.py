@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .. import schemas
 from ..functions.scalars import to_real
+from .snapshots import Snapshots, Split
 
 
 def check_kpi_rows(rows: DataFrame, family: str) -> DataFrame:
@@ -29,38 +29,29 @@ def check_kpi_rows(rows: DataFrame, family: str) -> DataFrame:
     return rows.withColumn("sample_count", checked)
 
 
-def replace_kpis(rows: DataFrame, family: str, path: str) -> None:
-    """Replace all snapshots of one family, whatever timeframes the new rows cover."""
-    check_kpi_rows(rows, family).drop("ranking_type").write.mode("overwrite").partitionBy("timeframe").parquet(
-        f"{path}/ranking_type={family}"
-    )
+def replace_kpis(rows: DataFrame, family: str, store: Snapshots) -> int:
+    """Replace all snapshots of one family, whatever timeframes the new rows cover; readers see the old or the new ones."""
+    return store.publish({"kpis": {family: check_kpi_rows(rows, family)}})
 
 
-def replace_rankings(rows: DataFrame, path: str, families: Sequence[str] = (), timeframes: Sequence[str] = ()) -> None:
-    """Replace the partitions of ``families`` x ``timeframes`` and of those that occur in ``rows``; others stay.
+def replace_rankings(rows: DataFrame, store: Snapshots, families: Sequence[str] = (), timeframes: Sequence[str] = ()) -> int:
+    """Replace the parts of ``families`` x ``timeframes`` and those that occur in ``rows``; others stay.
 
     A family and timeframe without rows ends up empty, whatever it held.
     """
-    spark = rows.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for family in families:
-        for timeframe in timeframes:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ranking_type={family}/timeframe={timeframe}"), True)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ranking_type", "timeframe")
-        .parquet(path)
-    )
+    return store.publish({"rankings": ranking_parts(rows, families, timeframes)})
+
+
+def ranking_parts(rows: DataFrame, families: Sequence[str], timeframes: Sequence[str]) -> Split:
+    return Split(rows, ("ranking_type", "timeframe"), [f"{family}-{timeframe}" for family in families for timeframe in timeframes])
 
 
-def read_kpis(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshots as written; the schema is stated because "30d" would be inferred as a number."""
-    return spark.read.schema(schemas.KPI_SNAPSHOT).parquet(path)
+def read_kpis(store: Snapshots, version: int | None = None) -> DataFrame | None:
+    return store.read("kpis", version=version)
 
 
-def read_rankings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RANKING_SNAPSHOT).parquet(path)
+def read_rankings(store: Snapshots, version: int | None = None) -> DataFrame | None:
+    return store.read("rankings", version=version)
 
 
 def write_observations(rows: DataFrame, path: str, mode: str = "append", real_storage: bool = False) -> None:
