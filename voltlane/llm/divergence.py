@@ -34,7 +34,7 @@ from voltlane.llm.common import Stages, col, register, slices, table
 LEAST_DOCUMENTS = 30
 TOP = 50
 #: Bytes of text in a block, but for a longer text, which is a block of its own.
-BLOCK = 48_000_000
+BLOCK = 16_000_000
 #: Sources and terms that are compared at once.
 SOURCES = 256
 TERMS = 4_096
