@@ -12,7 +12,7 @@ from voltlane.operators.kpis import drive_facts, drive_medians
 from voltlane.operators.series import drive_steps
 from voltlane.operators.sessions import charging_sessions
 from voltlane.plans.recompute import Tables, recompute
-from voltlane.session import table_stage
+from voltlane.session import table_stage, work_folder
 from voltlane.sources import events_adapter as A
 
 AS_OF = A.AS_OF
@@ -49,6 +49,19 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+OBJECTS_PER_FILE = 500
+
+
+def json_files(s: Source, text: DataFrame, name: str, torn: str) -> str:
+    """JSON objects (column ``value``) as files of lists in the shared folder, beside one torn file."""
+    path = f"{work_folder(s.spark, name)}/files"
+    files = text.count() // OBJECTS_PER_FILE + 1
+    lists = text.groupBy(F.pmod(F.xxhash64("value"), F.lit(files)).alias("f")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    lists.write.partitionBy("f").text(path)
+    s.spark.range(1).select(F.lit(torn).alias("value")).write.mode("append").text(path)
+    return path
+
+
 class Source:
     """Lazily built telemetry tables of one data folder."""
 

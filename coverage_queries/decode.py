@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from voltlane import schemas
 from voltlane.functions import hexframes as H
 from voltlane.operators import decode as X
 from voltlane.operators.ordering import running_totals
@@ -10,7 +9,7 @@ from voltlane.operators.series import time_bucket
 from voltlane.sources import batches as B
 from voltlane.sources.events_adapter import RUN_BUCKET_SECONDS, raw_response
 
-from .base import CTES, RAW_RESPONSE, register, rounded
+from .base import CTES, RAW_RESPONSE, json_files, register, rounded
 from .ingest import raw_rows
 
 PACK = 1000  # exchanges per run pack
@@ -59,16 +58,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 
 @register("s13_run_packs", """
 SELECT pack_id, session_id, exchange_index, CAST(event_id AS VARCHAR) AS id, ts AS started_at, parse_outcome FROM (
-  SELECT *, CASE turn WHEN 8 THEN 'error' WHEN 9 THEN 'not_supported' ELSE 'ok' END AS parse_outcome FROM exch)""")
+  SELECT *, CASE turn WHEN 8 THEN 'error' WHEN 9 THEN 'not_supported' ELSE 'ok' END AS parse_outcome FROM exch)
+UNION ALL SELECT '{"id": "torn', NULL, NULL, NULL, NULL, 'damaged'""")
 def run_packs(s):
-    """Exchanges packed to run-pack JSON (at most 1,000 each), parsed and exploded again."""
+    """Exchanges packed to run-pack files (at most 1,000 each), one of them torn, read and exploded again."""
     fields = ["id", "started_at", "ended_at", "command", "raw_response", "error_message", "parse_outcome", "signal_key", "source_signal"]
     item = F.struct("exchange_index", F.struct(*fields).alias("x"))
     packs = exchange_rows(s).groupBy(F.col("pack_id").alias("id"), "session_id", "vehicle_uid", "user_id").agg(
         F.array_sort(F.collect_list(item)).alias("c")).withColumn("command_exchanges", F.col("c.x")).drop("c")
-    text = packs.select(F.to_json(F.struct(*packs.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("j"))
-    parsed = text.select(F.from_json("j", schemas.RUN_PACK).alias("p")).select("p.*")
-    return rounded(B.explode_run_packs(parsed).select("pack_id", "session_id", "exchange_index", "id", "started_at", "parse_outcome"))
+    text = packs.select(F.to_json(F.struct(*packs.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+    path = json_files(s, text, "packs", '{"id": "torn')
+    rows, damaged = B.read_run_packs(s.spark, path)
+    none = lambda kind: F.lit(None).cast(kind)
+    return rounded(rows.select("pack_id", "session_id", "exchange_index", "id", "started_at", "parse_outcome").unionByName(damaged.select(
+        F.col("content").alias("pack_id"), none("string").alias("session_id"), none("int").alias("exchange_index"), none("string").alias("id"),
+        none("timestamp").alias("started_at"), F.lit("damaged").alias("parse_outcome"))))
 
 
 @register("x01_parse_payload_ref", f"""
@@ -152,17 +156,22 @@ def diagnostic_snapshots(s):
         "session_id", "observed_at", "mil_on", F.array_join("dtcs_active", ",").alias("codes")))
 
 
-@register("x11_to_observations", """
+@register("x11_to_observations", f"""
 SELECT pack_id, exchange_index, CASE turn WHEN 1 THEN 'power.battery_voltage' WHEN 3 THEN 'environment.ambient_temp_c' ELSE 'speed.vehicle' END AS signal_key,
   round(val, 6) AS value_number, CASE WHEN val IS NOT NULL THEN 'ok' WHEN turn = 8 THEN 'error' WHEN turn = 9 THEN 'not_supported' ELSE 'unavailable' END AS status,
   CASE WHEN val IS NULL THEN NULL WHEN turn = 0 THEN 0.99::DOUBLE WHEN turn = 3 THEN 0.8::DOUBLE WHEN k % 2 = 0 THEN 0.88::DOUBLE ELSE 0.75::DOUBLE END AS confidence,
-  CASE WHEN turn = 1 AND k % 2 = 1 AND val IS NOT NULL THEN 'AT_RV' WHEN turn = 1 THEN '01_42' WHEN turn = 3 THEN '01_46' ELSE '01_0D' END AS source_signal
+  CASE WHEN turn = 1 AND k % 2 = 1 AND val IS NOT NULL THEN 'AT_RV' WHEN turn = 1 THEN '01_42' WHEN turn = 3 THEN '01_46' ELSE '01_0D' END AS source_signal,
+  CASE turn WHEN 8 THEN 'cmd=010D error=timeout' WHEN 9 THEN 'cmd=010D skipped=unsupported_pid (pid=0x0D block=0x00)'
+    WHEN 0 THEN 'cmd=010D resp=' || {RAW_RESPONSE} WHEN 3 THEN 'cmd=0146 resp=41 46 ' || printf('%02X', k) || ' 41 46'
+    ELSE 'cmd=0142 resp=' || CASE WHEN k % 2 = 0 THEN '41 42 ' || printf('%02X %02X', k, 99 - k) ELSE 'NO DATA' END ||
+      CASE WHEN k % 2 = 1 AND val IS NOT NULL THEN ' | fallback=ATRV resp=ATRV 1' || CAST(k2 % 10 AS VARCHAR) || '.' || CAST(k2 % 7 AS VARCHAR) || 'V' ELSE '' END
+  END AS raw_payload_ref
 FROM (SELECT *, CAST(CASE turn WHEN 0 THEN CASE WHEN k % 7 IN (3, 4) THEN NULL ELSE k END
     WHEN 1 THEN CASE WHEN k % 2 = 0 THEN (256 * k + 99 - k) / 1000.0 WHEN k2 % 5 <> 0 THEN 10 + k2 % 10 + (k2 % 7) / 10.0 END
     WHEN 3 THEN k - 40 END AS DOUBLE) AS val FROM exch WHERE turn IN (0, 1, 3, 8, 9))""")
 def to_observations(s):
     return rounded(X.to_observations(exchange_rows(s)).select(
-        "pack_id", "exchange_index", "signal_key", "value_number", "status", "confidence", "source_signal"))
+        "pack_id", "exchange_index", "signal_key", "value_number", "status", "confidence", "source_signal", "raw_payload_ref"))
 
 
 @register("x12_diagnostic_changes", """

@@ -12,7 +12,7 @@ from voltlane.session import work_folder
 from voltlane.sources import batches as B
 from voltlane.sources import sinks
 
-from .base import AS_OF, CTES, bin_sql, charger_sql, confidence_sql, register, rounded
+from .base import AS_OF, CTES, bin_sql, charger_sql, confidence_sql, json_files, register, rounded
 
 # One upload per user and day, assembled from the telemetry of that day. A number
 # ``m`` (0-29) per upload decides which rule it is made to break; 15 and above are valid.
@@ -108,12 +108,17 @@ FAULT_SQL = "CASE m " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FAULTS.items
 
 # ---- S1, S14, S2, X15 ------------------------------------------------------------------------------
 @register("s01_read_batches", """
-SELECT batch_id, vehicle_uid, '0.2' AS schema_version, 'OBD' AS source, 'ios' AS platform, started_at, ended_at, n_records, n_events FROM ups""")
+SELECT batch_id, vehicle_uid, '0.2' AS schema_version, 'OBD' AS source, 'ios' AS platform, started_at, ended_at, n_records, n_events FROM ups
+UNION ALL SELECT '{"batch_id": "torn", "records": [', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
 def read_batches(s):
-    return rounded(uploads(s).select(
+    """Uploads written as files to the shared folder, one file of them torn, and read from there."""
+    text = I.batches_to_json(I.raw_rows_to_batches(raw_rows(s))).select(F.col("payload").alias("value"))
+    batches, damaged = B.read_batches_and_damage(s.spark, json_files(s, text, "uploads", '{"batch_id": "torn", "records": ['))
+    rows = rounded(batches.select(
         "batch_id", "vehicle_uid", "schema_version", "source", F.col("client.platform").alias("platform"),
         F.col("capture_window.started_at").alias("started_at"), F.col("capture_window.ended_at").alias("ended_at"),
         F.size("records").cast("bigint").alias("n_records"), F.size("session_events").cast("bigint").alias("n_events")))
+    return rows.unionByName(damaged.select(F.col("content").alias("batch_id")), allowMissingColumns=True)
 
 
 @register("s02_explode_records", """
@@ -175,12 +180,17 @@ def write_observations(s):
         F.count("*").alias("n"), F.round(F.sum("value_number"), 2).alias("total")), 2)
 
 
-@register("s11_registry", "SELECT signal_key, count(*) AS readings FROM obs GROUP BY ALL")
+@register("s11_registry", """
+SELECT signal_key, count(*) AS readings FROM obs GROUP BY ALL UNION ALL SELECT '{"signals": 1', 0""")
 def registry(s):
+    """A registry file beside a torn one, read and joined with the readings."""
     from voltlane.functions.sizes import broadcast_if_small
 
-    reg = broadcast_if_small(B.registry(s.spark).select("signal_key", "category"))
-    return s.obs().join(reg, "signal_key").groupBy("signal_key").agg(F.count("*").alias("readings"))
+    known = B.registry(s.spark)
+    text = known.agg(F.to_json(F.struct(F.lit("0.2").alias("schema_version"), F.collect_list(F.struct(*known.columns)).alias("signals"))).alias("value"))
+    rows, damaged = B.read_registry(s.spark, json_files(s, text, "registry", '{"signals": 1'))
+    counts = s.obs().join(broadcast_if_small(rows.select("signal_key", "category")), "signal_key").groupBy("signal_key").agg(F.count("*").alias("readings"))
+    return counts.unionByName(damaged.select(F.col("content").alias("signal_key"), F.lit(0).cast("bigint").alias("readings")))
 
 
 @register("s14_raw_rows_to_batches", """

@@ -105,18 +105,29 @@ def missing_requirements(s):
     return rows.select("vehicle_uid", "timeframe", F.array_join(Q.missing_requirements(GATES), ";").alias("missing"))
 
 
-PAGE_SQL = f"""
-SELECT {RANK_SQL}, TRUE AS has_more FROM (SELECT r.* FROM rank_plain r JOIN veh v USING (vehicle_uid)
-  WHERE r.ranking_type = 'ev_range_efficiency' AND r.timeframe = '90d' AND vehicle_uid IN (SELECT vehicle_uid FROM acc WHERE user_id = 'user-3'))
-ORDER BY rank_position, cohort_key, vehicle_uid LIMIT 5 OFFSET 1"""
+def _page_sql(limit, offset):
+    return f"""
+SELECT {RANK_SQL}, count(*) OVER () >= {limit} AS has_more FROM (
+  SELECT r.* FROM rank_plain r JOIN veh v USING (vehicle_uid)
+  WHERE r.ranking_type = 'ev_range_efficiency' AND r.timeframe = '90d' AND vehicle_uid IN (SELECT vehicle_uid FROM acc WHERE user_id = 'user-3')
+  ORDER BY rank_position, cohort_key, vehicle_uid LIMIT {limit} OFFSET {offset})"""
 
 
-@register("q07_ranking_page", PAGE_SQL)
-def ranking_page(s):
-    page = Q.ranking_page(snapshots(s).rankings, s.vehicles(), s.access(), "user-3", C.RANGE, "90d", limit=5, offset=1)
+def _page(s, limit, offset):
+    page = Q.ranking_page(snapshots(s).rankings, s.vehicles(), s.access(), "user-3", C.RANGE, "90d", limit=limit, offset=offset)
     return rounded(page.select(*RANK_COLUMNS, "has_more"))
 
 
+@register("q07_ranking_page", _page_sql(5, 1))
+def ranking_page(s):
+    return _page(s, 5, 1)
+
+
+@register("q07_last_page", _page_sql(100, 2))
+def last_page(s):
+    return _page(s, 100, 2)
+
+
 @register("q08_with_kpi_map", """
 SELECT r.vehicle_uid, r.rank_position, string_agg(kpi_key || '=' || CAST(CAST(round(kpi_value * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY kpi_key) AS kpis
 FROM rank_plain r JOIN kpi k ON k.vehicle_uid = r.vehicle_uid AND k.ranking_type = r.ranking_type AND k.timeframe = r.timeframe AND k.temperature_bin = r.temperature_bin

@@ -52,8 +52,28 @@ def _with_next(exchanges: DataFrame, command: str) -> DataFrame:
     return exchanges.join(following, ["pack_id", "exchange_index"], "left")
 
 
+#: Fixed value: longest payload reference; longer ones end in three dots.
+MAX_PAYLOAD_REF = 240
+
+
+def one_line(response: Column) -> Column:
+    """A response without prompts and line breaks."""
+    lines = F.split(F.replace(F.coalesce(response, F.lit("")), F.lit(">"), F.lit(" ")), r"[\n\x0B\f\r\u0085\u2028\u2029]+")
+    return F.array_join(F.filter(F.transform(lines, _trimmed), lambda x: x != ""), " ")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def payload_ref(text: Column) -> Column:
+    """A payload reference, trimmed and cut to its longest size."""
+    whole = _trimmed(text)
+    return F.when(F.char_length(whole) > MAX_PAYLOAD_REF, F.concat(F.substring(whole, 1, MAX_PAYLOAD_REF - 3), F.lit("..."))).otherwise(whole)
+
+
 def to_observations(exchanges: DataFrame) -> DataFrame:
-    """One reading per polled signal with its status.
+    """One reading per polled signal with its status, and what was sent and received as ``raw_payload_ref``.
 
     A module-voltage poll without a value takes the adapter voltage of the ATRV exchange
     that follows it, with lower confidence.
@@ -77,6 +97,17 @@ def to_observations(exchanges: DataFrame) -> DataFrame:
         adapter_voltage(F.col("next_response")),
     )
     value = F.coalesce("_primary", "_backup")
+    pid, command = lookup(2), F.concat(F.lit("cmd="), "command")
+    hex2 = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
+    answered = F.concat(command, F.lit(" resp="), one_line(F.col("raw_response")))
+    sent = (
+        F.when(F.col("error_message").isNotNull(), F.concat(command, F.lit(" error="), "error_message"))
+        # 32 PIDs share a block of the support mask
+        .when(F.col("parse_outcome") == "not_supported", F.concat(
+            command, F.lit(" skipped=unsupported_pid (pid=0x"), hex2(pid), F.lit(" block=0x"), hex2(F.floor((pid - 1) / 32) * 32), F.lit(")")))
+        .when(F.col("_backup").isNotNull(), F.concat(answered, F.lit(f" | fallback={C.ADAPTER_VOLTAGE[0]} resp="), one_line(F.col("next_response"))))
+        .otherwise(answered)
+    )
     return (
         polls.withColumn("_primary", primary)
         .withColumn("_backup", backup)
@@ -90,6 +121,7 @@ def to_observations(exchanges: DataFrame) -> DataFrame:
             .alias("status"),
             F.when(F.col("_primary").isNotNull(), lookup(7)).when(F.col("_backup").isNotNull(), C.ADAPTER_VOLTAGE[4]).alias("confidence"),
             F.when(F.col("_backup").isNotNull(), C.ADAPTER_VOLTAGE[3]).otherwise(lookup(6)).alias("source_signal"),
+            payload_ref(sent).alias("raw_payload_ref"),
         )
     )
 

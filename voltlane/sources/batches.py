@@ -17,14 +17,29 @@ def _empty_arrays(df: DataFrame) -> DataFrame:
     return df
 
 
+def _read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Objects of JSON files, each a single one or a list, and what could not be read: (file, content)."""
+    raw = spark.read.schema(f"{schema}, _corrupt string").options(multiLine=True, columnNameOfCorruptRecord="_corrupt", recursiveFileLookup=True).json(path)
+    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
+    # Spark refuses to scan for damaged records alone, so the condition (always true of them) reads a field of the file too
+    read_too = F.concat_ws("", F.col(raw.columns[0]).cast("string")) >= ""
+    damaged = raw.where(F.col("_corrupt").isNotNull() & read_too).select(F.col("_file").alias("file"), F.regexp_replace("_corrupt", r"^\s+|\s+$", "").alias("content"))
+    return raw.where(F.col("_corrupt").isNull()).drop("_corrupt"), damaged
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Upload envelopes, one JSON object per file (or a folder of them).
+    """Upload envelopes, one JSON object or list of objects per file (or a folder of them).
 
     ``arrival_id`` tells uploads apart; it is set at the scan, where it does not depend on
-    any shuffle.
+    any shuffle. Damaged files are left out; see :func:`read_batches_and_damage`.
     """
-    raw = spark.read.schema(schemas.BATCH).option("multiLine", True).json(path)
-    return _empty_arrays(raw.withColumn("arrival_id", _arrival_id()))
+    return read_batches_and_damage(spark, path)[0]
+
+
+def read_batches_and_damage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Upload envelopes, and the files that hold none: (file, content)."""
+    raw, damaged = _read_json(spark, path, schemas.BATCH)
+    return _empty_arrays(raw.withColumn("arrival_id", _arrival_id()).drop("_file")), damaged
 
 
 def _arrival_id():
@@ -59,15 +74,10 @@ def registry(spark: SparkSession) -> DataFrame:
     )
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A registry file (one object with a ``signals`` list) as a dimension."""
-    return (
-        spark.read.schema(schemas.REGISTRY_FILE)
-        .option("multiLine", True)
-        .json(path)
-        .select("schema_version", F.explode("signals").alias("s"))
-        .select("schema_version", "s.*")
-    )
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A registry file (one object with a ``signals`` list) as a dimension, and damaged files."""
+    raw, damaged = _read_json(spark, path, schemas.REGISTRY_FILE)
+    return raw.select("schema_version", F.explode("signals").alias("s")).select("schema_version", "s.*"), damaged
 
 
 def kpi_catalog(spark: SparkSession) -> DataFrame:
@@ -79,10 +89,10 @@ def kpi_catalog(spark: SparkSession) -> DataFrame:
     )
 
 
-def read_run_packs(spark: SparkSession, path: str) -> DataFrame:
-    """Capture run packs as one row per command exchange."""
-    packs = spark.read.schema(schemas.RUN_PACK).option("multiLine", True).json(path)
-    return explode_run_packs(packs)
+def read_run_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Capture run packs as one row per command exchange, and damaged files."""
+    packs, damaged = _read_json(spark, path, schemas.RUN_PACK)
+    return explode_run_packs(packs), damaged
 
 
 def explode_run_packs(packs: DataFrame) -> DataFrame:
