@@ -86,14 +86,15 @@ def observations_in_windows(
         "vehicle_uid", "observation_id", "signal_key", "value_number", "value_string", "observed_at",
         "ingested_at", time_bucket(F.col("observed_at"), bucket_seconds).alias("_slot"),
     )
-    on_level = lambda rows, level: rows.withColumns({"_level": F.lit(level), "_slot": F.shiftright("_slot", FAN_OUT_BITS * level)})
-    probes = on_level(readings, 0)
     higher = [level for level in levels if level]
     if higher:
-        there = spread.where(F.col("_level") > 0).select("vehicle_uid").distinct()
-        some = readings.join(broadcast_if_small(there), "vehicle_uid", "left_semi")
-        some = some.withColumn("_level", F.explode(F.array(*[F.lit(level) for level in higher])))
-        probes = probes.unionByName(some.withColumn("_slot", F.expr(f"shiftright(_slot, {FAN_OUT_BITS} * _level)")))
+        there = spread.where(F.col("_level") > 0).select("vehicle_uid", F.lit(True).alias("_higher")).distinct()
+        readings = readings.join(broadcast_if_small(there), "vehicle_uid", "left")
+        own = F.when(F.col("_higher"), F.array(*[F.lit(level) for level in [0, *higher]])).otherwise(F.array(F.lit(0)))
+        probes = readings.withColumn("_level", F.explode(own)).drop("_higher")
+    else:
+        probes = readings.withColumn("_level", F.lit(0))
+    probes = probes.withColumn("_slot", F.expr(f"shiftright(_slot, {FAN_OUT_BITS} * _level)"))
     return (
         probes.join(spread, ["vehicle_uid", "_level", "_slot"])
         .where(F.col("observed_at").between(F.col("started_at"), F.col("_close")))
