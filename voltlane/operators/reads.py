@@ -169,7 +169,7 @@ def ranking_page(
     if family not in C.FAMILIES:
         raise ValueError("no such family of rankings")
     if family != C.TEMPERATURE and temperature_bin != "all":
-        raise ValueError("temperature_bin filters are supported only for temperature impact")
+        raise ValueError("only the temperature family is ranked by temperature bin")
     limit, offset = min(max(limit, 1), 100), max(offset, 0)
     mine = accessible(
         rank.where(
