@@ -16,6 +16,7 @@ from ..config import IngestLimits
 from ..functions.scalars import map_session_event, temperature_bin, whole_seconds_between
 from ..functions.sizes import broadcast_if_small
 from ..session import table_stage
+from .claims import CLAIM, claiming
 from .ordering import running_totals
 
 
@@ -164,22 +165,10 @@ def accept_batches(
     checked = stage(validate_batches(batches, limits).select(*envelope, "rejection"), "checked_envelopes")
     valid = checked.where(F.col("rejection").isNull())
     mine = F.coalesce(F.col("user_id") == F.col("owner"), F.lit(False))
-    # A forbidden upload claims nothing, and who may upload depends on the claims. Each round leaves out the claims of
-    # uploads that the round before found forbidden; decisions settle in the order of arrival, a chain a round.
-    round_, able = 0, valid.join(access.groupBy("vehicle_uid").agg(F.min("user_id").alias("owner")), "vehicle_uid", "left")
-    able = stage(able.where(mine | F.col("owner").isNull()).drop("owner"), "able_0")
-    barred = None
-    while True:
-        round_ += 1
-        claimants = able if barred is None else able.join(barred, "arrival_id", "left_anti")
-        claims = stage(classify_batches(claimants, ledger).where(F.col("outcome") == "fresh"), f"claims_{round_}")
-        first = claims.groupBy("vehicle_uid").agg(F.min(F.struct("received_at", "arrival_id", "user_id")).alias("_f"))
-        late = F.struct("_f.received_at", "_f.arrival_id") < F.struct("received_at", "arrival_id")
-        now = stage(able.join(first, "vehicle_uid").where((F.col("_f.user_id") != F.col("user_id")) & late).select("arrival_id"), f"barred_{round_}")
-        settled = now.isEmpty() if barred is None else now.join(barred, "arrival_id", "left_anti").isEmpty() and barred.join(now, "arrival_id", "left_anti").isEmpty()
-        barred = now
-        if settled:
-            break
+    # A forbidden upload claims nothing, and who may upload depends on the claims: both are decided together.
+    known = valid.join(access.groupBy("vehicle_uid").agg(F.min("user_id").alias("owner")), "vehicle_uid", "left")
+    able = stage(known.where(mine | F.col("owner").isNull()).select(*CLAIM), "able")
+    claims = claiming(able.join(ledger.select("batch_id"), "batch_id", "left_anti"), stage)
     owned = stage(valid.join(_owners(claims, access), "vehicle_uid", "left").select(*envelope, mine.alias("mine")), "owned_envelopes")
     accepted = stage(classify_batches(owned.where("mine"), ledger).select(*envelope, "outcome"), "classified_envelopes")
 
