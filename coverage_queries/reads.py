@@ -128,6 +128,33 @@ def last_page(s):
     return _page(s, 100, 2)
 
 
+def _deep_page_sql(page):
+    return f"""
+SELECT {RANK_SQL}, count(*) OVER () >= 20 AS has_more FROM (
+  SELECT * FROM (SELECT r.*, row_number() OVER (ORDER BY rank_position, cohort_key, vehicle_uid) AS i, count(*) OVER () AS n
+    FROM rank_plain r JOIN veh v USING (vehicle_uid) WHERE r.ranking_type = 'ev_range_efficiency' AND r.timeframe = '90d')
+  WHERE i > {page} AND i <= {page} + 20)"""
+
+
+def _deep_page(s, offset):
+    """A page at an offset in the ranking of a user who may see every vehicle, through the index of its positions."""
+    everyone = s.vehicles().select(F.lit("fleet").alias("user_id"), "vehicle_uid")
+    asked = (snapshots(s).rankings, s.vehicles(), everyone, "fleet", C.RANGE, "90d")
+    index = Q.index_ranking(Q.ranking_rows(*asked), work_folder(s.spark, "q07"))
+    page = Q.ranking_page(*asked, limit=20, offset=offset(index), index=index)
+    return rounded(page.select(*RANK_COLUMNS, "has_more"))
+
+
+@register("q07_deep_page", _deep_page_sql("n // 2"))
+def deep_page(s):
+    return _deep_page(s, lambda index: index.size() // 2)
+
+
+@register("q07_page_at_the_end", _deep_page_sql("n - 7"))
+def page_at_the_end(s):
+    return _deep_page(s, lambda index: index.size() - 7)
+
+
 @register("q08_with_kpi_map", """
 SELECT r.vehicle_uid, r.rank_position, string_agg(kpi_key || '=' || CAST(CAST(round(kpi_value * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY kpi_key) AS kpis
 FROM rank_plain r JOIN kpi k ON k.vehicle_uid = r.vehicle_uid AND k.ranking_type = r.ranking_type AND k.timeframe = r.timeframe AND k.temperature_bin = r.temperature_bin

@@ -13,7 +13,7 @@ from voltlane import constants as C
 from voltlane.functions.scalars import timeframes
 from voltlane.operators import series as S
 from voltlane.operators.kpis import drive_facts, drive_medians
-from voltlane.operators.ordering import DIGITS, distributed_rank, exact_median, order_bits, percentile_rank, running_totals
+from voltlane.operators.ordering import DIGITS, PageIndex, distributed_rank, exact_median, order_bits, percentile_rank, running_totals
 from voltlane.operators.series import drive_steps
 from voltlane.operators.sessions import covering_blocks, observations_in_windows
 
@@ -286,3 +286,25 @@ def test_drive_steps_shuffle_readings_once(spark):
     big = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_COL" in line]
     assert len(big) == 2 and len({line[line.index("Exchange"):].split(", [plan_id")[0].split("#")[0] for line in big}) == 1
     assert "observed_at" not in "".join(line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_pages_of_an_order_are_read_from_their_ranges(spark):
+    rng = random.Random(11)
+    rows = [(1 if rng.random() < 0.34 else rng.randrange(2, 900), f"c{rng.randrange(9)}", f"v{i:05d}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "rank_position long, cohort_key string, vehicle_uid string").withColumn("_n", F.lit(1))
+    index = PageIndex.write(df, ["rank_position", "cohort_key", "vehicle_uid"])
+    ordered, sizes = sorted(rows), spark.read.parquet(f"{index.folder}/sizes").orderBy("_range").collect()
+    assert index.size() == len(rows) and len(sizes) > 1 and max(r.n for r in sizes) < len(rows) / 2
+    cut = sizes[1].before
+    for offset, limit in ((0, 5), (cut - 3, 6), (cut, 1), (12_345, 100), (19_990, 100), (20_000, 5), (10**9, 5)):
+        page = index.page(offset, limit)
+        assert page.columns == df.columns and sorted(tuple(r)[:3] for r in page.collect()) == ordered[offset : offset + limit]
+    plan = index.page(12_345, 100)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan
+    again = PageIndex(spark, index.folder, index.order)  # as a later request opens it
+    assert [tuple(r)[:3] for r in again.page(cut - 3, 6).collect()] == ordered[cut - 3 : cut + 3]
+
+
+def test_pages_of_no_rows(spark):
+    index = PageIndex.write(spark.createDataFrame([], "a long, b string"), ["a", "b"])
+    assert index.size() == 0 and index.page(0, 10).collect() == [] and index.page(0, 10).columns == ["a", "b"]

@@ -11,11 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
-from ..session import Stage, table_stage
+from ..session import Stage, hadoop_folder, table_stage, work_folder
 from .skew import join_counted
 
 # Buckets per e-fold of magnitude. Values up to 1e6 give about 57,000 buckets per key.
@@ -184,6 +184,54 @@ def distributed_rank(
     )
 
 
+class PageIndex:
+    """Rows in a total order, in ranges whose sizes are known: a page is read from the ranges it lies in.
+
+    Ranges are folders (``_range=<n>``), cut by Spark from a sample of the order, and hold about one shuffle
+    partition each; next to them stands how many rows come before each. A page of ``limit`` rows touches
+    at most ``limit`` ranges, nearly always one, at any offset, and sorts nothing else. Equal rows of the order
+    may lie on both sides of a cut, so end ``order`` with a unique column. Nulls of the order come first.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, order: Sequence[str]):
+        self.spark, self.folder, self.order = spark, folder, list(order)
+
+    @classmethod
+    def write(cls, df: DataFrame, order: Sequence[str], folder: str | None = None) -> PageIndex:
+        """Deal ``df`` into ranges under ``folder`` (default: a new one in the shared folder)."""
+        index = cls(df.sparkSession, folder or work_folder(df.sparkSession, "pages"), order)
+        ranges = df.repartitionByRange(*index.order).withColumn("_range", F.spark_partition_id())
+        ranges.write.mode("overwrite").partitionBy("_range").parquet(f"{index.folder}/rows")
+        if index._empty():
+            df.limit(0).withColumn("_range", F.lit(0)).write.mode("overwrite").parquet(f"{index.folder}/rows")
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        sizes = index._rows().groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+        sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).write.mode("overwrite").parquet(f"{index.folder}/sizes")
+        return index
+
+    def _empty(self) -> bool:
+        """No row, so no range folder and no schema that a reader could take from one."""
+        files, at = hadoop_folder(self.spark, f"{self.folder}/rows")
+        return not any(s.isDirectory() for s in files.listStatus(at))
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/rows")
+
+    def size(self) -> int:
+        """Number of rows in all."""
+        return self.spark.read.parquet(f"{self.folder}/sizes").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` of the order, none beyond its end."""
+        sizes = self.spark.read.parquet(f"{self.folder}/sizes")
+        last = F.col("before") + F.col("n")
+        held = sizes.where((F.col("before") < offset + limit) & (last > offset)).orderBy("_range").collect()  # at most ``limit`` ranges
+        if not held:
+            return self._rows().where(F.lit(False)).drop("_range")
+        rows = self._rows().where(F.col("_range").between(held[0]["_range"], held[-1]["_range"]))
+        return rows.drop("_range").orderBy(*self.order).offset(offset - held[0]["before"]).limit(limit)
+
+
 def at_or_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per distinct (keys, value): rows of the key that are <=, < and = value, and in all."""
     keys = list(keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..config import TemperatureGates
 from ..functions.scalars import Timeframe, family_confidence, session_signal_key
-from .ordering import percentile_rank
+from .ordering import PageIndex, percentile_rank
 from .rankings import latest_kpis
 from .series import per_timeframe
 
@@ -158,19 +158,20 @@ def readiness(
 
 
 # ---- rankings -----------------------------------------------------------------------------------
-def ranking_page(
+#: Position up to which a page is taken from the first rows of every task; pages beyond it are read through an index.
+FIRST_ROWS = 10_000
+PAGE_ORDER = ["rank_position", "cohort_key", "vehicle_uid"]
+
+
+def ranking_rows(
     rank: DataFrame, vehicle: DataFrame, access: DataFrame, user: str, family: str, timeframe: str = "30d",
-    temperature_bin: str = "all", make=None, model=None, trim=None, powertrain_class=None, limit: int = 25, offset: int = 0,
+    temperature_bin: str = "all", make=None, model=None, trim=None, powertrain_class=None,
 ) -> DataFrame:
-    """A page of the newest ranking among the user's vehicles, by position.
-
-    ``has_more`` is true when the page is full. Limit is held to 1-100.
-    """
+    """The newest ranking among the user's vehicles, all rows of it."""
     if family not in C.FAMILIES:
         raise ValueError("no such family of rankings")
     if family != C.TEMPERATURE and temperature_bin != "all":
         raise ValueError("only the temperature family is ranked by temperature bin")
-    limit, offset = min(max(limit, 1), 100), max(offset, 0)
     mine = accessible(
         rank.where(
             (F.col("ranking_type") == family) & (F.col("timeframe") == timeframe) & (F.col("temperature_bin") == temperature_bin)
@@ -178,17 +179,34 @@ def ranking_page(
         access, user,
     )
     newest = F.broadcast(mine.agg(F.max("computed_at").alias("computed_at")))  # one row
-    page = mine.join(newest, "computed_at")
     wanted = vehicle
     for name, value in (("make", make), ("model", model), ("trim", trim), ("powertrain_class", powertrain_class)):
         if value is not None:
             wanted = wanted.where(F.coalesce(F.col(name), F.lit("unknown")) == value)
-    page = (
-        page.join(wanted.select("vehicle_uid"), "vehicle_uid")
-        .orderBy("rank_position", "cohort_key", "vehicle_uid")
-        .offset(offset)
-        .limit(limit)
-    )
+    return mine.join(newest, "computed_at").join(wanted.select("vehicle_uid"), "vehicle_uid")
+
+
+def index_ranking(rows: DataFrame, folder: str | None = None) -> PageIndex:
+    """An index of :func:`ranking_rows` for pages at any offset, written once and used for all of them."""
+    return PageIndex.write(rows, PAGE_ORDER, folder)
+
+
+def ranking_page(
+    rank: DataFrame, vehicle: DataFrame, access: DataFrame, user: str, family: str, timeframe: str = "30d",
+    temperature_bin: str = "all", make=None, model=None, trim=None, powertrain_class=None, limit: int = 25, offset: int = 0,
+    index: PageIndex | None = None,
+) -> DataFrame:
+    """A page of the newest ranking among the user's vehicles, by position.
+
+    ``has_more`` is true when the page is full. Limit is held to 1-100. Pages that end beyond ``FIRST_ROWS`` are read
+    through ``index``, or through one written for them; an index that is given serves all pages.
+    """
+    limit, offset = min(max(limit, 1), 100), max(offset, 0)
+    rows = ranking_rows(rank, vehicle, access, user, family, timeframe, temperature_bin, make, model, trim, powertrain_class)
+    if index is None and offset + limit <= FIRST_ROWS:
+        page = rows.orderBy(*PAGE_ORDER).offset(offset).limit(limit)
+    else:
+        page = (index or index_ranking(rows)).page(offset, limit)
     full = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) >= limit  # at most 100 rows here
     return page.withColumn("has_more", full)
 
