@@ -6,9 +6,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tests.test_ingest import T0, batch, frame
+from voltlane import constants as C
 from voltlane.operators.kpis import drive_facts, drive_medians, facts_of, medians_of
 from voltlane.operators.series import BUCKET_SECONDS, SLOT, drive_steps, labelled_points
 from voltlane.functions.scalars import timeframes
+from voltlane.operators.sessions import charging_sessions
 from voltlane.sources import batches as B
 from voltlane.streaming import ingest as TI
 from voltlane.streaming import refresh as TR
@@ -92,3 +94,41 @@ def test_only_hours_that_change_are_read_again(spark, tmp_path):
             assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
     # the temperature of hour 17 enters hours 18 to 24; the SOC of hour 20 is not its last
     assert read_again[-1] == 2 + 4 - 1 and BUCKET_SECONDS == 3600
+
+
+def test_sessions_come_from_kept_windows_and_few_days(spark, tmp_path):
+    """Events in three micro-batches, stops before starts among them; later ones read the days of their windows only."""
+    root, as_of = str(tmp_path), datetime(2024, 3, 1)
+    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
+    waves = [
+        [("v1", "s1", "start", day(1)), ("v1", "s2", "stop", day(20, 3)), ("v2", "s3", "start", day(50)), ("v1", None, "start", day(3))],
+        [("v1", "s1", "stop", day(1, 2)), ("v1", "s2", "start", day(20)), ("v2", "s3", "start", day(49, 20)), ("v2", "s4", "stop", day(2))],
+        [("v1", "s1", "start", day(1))] * 50 + [("v1", "s1", "stop", day(1, 5)), ("v2", "s3", "start", day(55))],
+    ]
+    schema = "vehicle_uid string, session_id string, event_type string, observed_at timestamp, session_type string"
+    rows = [[(*r, "charging") for r in wave] for wave in waves]
+    obs = spark.range(2 * 60 * 24).select(
+        F.concat(F.lit("v"), (F.col("id") % 2 + 1).cast("string")).alias("vehicle_uid"), F.concat(F.lit("o"), "id").alias("observation_id"),
+        F.when(F.col("id") % 4 < 2, C.CHARGE_POWER).otherwise(C.SOC).alias("signal_key"), (F.col("id") % 97).cast("double").alias("value_number"),
+        F.lit(None).cast("string").alias("value_string"), F.timestamp_seconds(F.lit(int((T0 - datetime(1970, 1, 1)).total_seconds())) + F.floor(F.col("id") / 2) * 3600).alias("observed_at"),
+    ).withColumn("ingested_at", F.col("observed_at"))
+    obs.write.parquet(f"{root}/obs")
+    seen = []
+
+    def readings():
+        seen.append(spark.read.parquet(f"{root}/obs"))
+        return seen[-1]
+
+    for i, wave in enumerate(rows):
+        spark.createDataFrame(wave, schema).coalesce(1).write.parquet(f"{root}/events/w{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/events/*")
+        TR.sessions_stream(stream, root, readings, as_of, f"{root}/checkpoint").awaitTermination()
+        so_far = spark.createDataFrame(sum(rows[: i + 1], []), schema)
+        batch_twin = charging_sessions(spark.read.parquet(f"{root}/obs"), so_far, as_of).where("session_id IS NOT NULL")
+        got, want = (sorted(map(str, df.select(*batch_twin.columns).collect())) for df in (TR.read_sessions(spark, root), batch_twin))
+        assert got == want and len(want) == (2, 3, 3)[i]
+    assert not os.listdir(f"{root}/_work")
+    windows = spark.createDataFrame([(day(1), day(1, 5)), (day(9), day(10)), (day(11), None), (day(5), day(4))], "started_at timestamp, ended_at timestamp")
+    d = lambda n: day(n).date()
+    assert TR.days_of(windows, day(12)) == [(d(1), d(1)), (d(9), d(12))]
+    assert TR.days_of(windows, day(12), most=1) == [(d(1), d(12))] and TR.days_of(windows.limit(0), day(12)) == []

@@ -156,6 +156,13 @@ def charging_sessions(
     """
     stage = stage or table_stage(events.sparkSession)
     windows = stage(session_windows(events), f"windows-{uuid.uuid4().hex}")
+    return sessions_of_windows(obs, windows, as_of, real_storage, bucket_seconds)
+
+
+def sessions_of_windows(
+    obs: DataFrame, windows: DataFrame, as_of: datetime, real_storage: bool = False, bucket_seconds: int = BUCKET_SECONDS
+) -> DataFrame:
+    """Sessions of windows that are known already; the windows are read several times."""
     rows = session_metrics(windows, observations_in_windows(obs, windows, as_of, bucket_seconds), real_storage)
     now = instant(as_of, windows, "started_at")
     return rows.withColumn("created_at", now).withColumn("updated_at", now)

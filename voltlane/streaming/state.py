@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,6 +51,27 @@ class FirstTold(StatefulProcessor):
         pass
 
 
+class Windows(StatefulProcessor):
+    """Keeps the earliest start and the latest stop told of a key, and emits both whenever it is told anything."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("window", "start bigint, stop bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        start, stop = self.known.get() if self.known.exists() else (None, None)
+        for r in rows:
+            start = min((x for x in (start, r.start) if x is not None), default=None)
+            stop = max((x for x in (stop, r.stop) if x is not None), default=None)
+        self.known.update((start, stop))
+        yield Row(vehicle_uid=key[0], session_id=key[1], start=start, stop=stop)
+
+    def close(self) -> None:
+        pass
+
+
 def asks(rows: DataFrame, kind: str, key: str) -> DataFrame:
     none = lambda as_type: F.lit(None).cast(as_type)
     return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), none("bigint").alias("at"), none("string").alias("value"))
@@ -69,6 +91,28 @@ def first_told(rows: DataFrame, announce: bool = False, keep_days: float | None
     )
 
 
+MARKS = ["vehicle_uid", "session_id", "start", "stop"]
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One mark a session and batch of rows, so that a session with very many events is not one task's work."""
+    for batch in batches:
+        marks = pa.Table.from_batches([batch]).group_by(MARKS[:2], use_threads=False).aggregate([("start", "min"), ("stop", "max")])
+        yield from marks.select([*MARKS[:2], "start_min", "stop_max"]).rename_columns(MARKS).to_batches()
+
+
+def windows_told(marks: DataFrame, keep_days: float | None = None) -> DataFrame:
+    """The window so far of every session that ``marks`` (columns ``MARKS``, microseconds or null) tells of.
+
+    State of a session ends ``keep_days`` after the last mark, if given.
+    """
+    keep = None if keep_days is None else int(keep_days * 86_400_000)
+    schema = "vehicle_uid string, session_id string, start bigint, stop bigint"
+    return marks.select(*MARKS).mapInArrow(_combined, schema).groupBy(*MARKS[:2]).transformWithState(
+        Windows(keep), schema, "Append", "None" if keep is None else "ProcessingTime"
+    )
+
+
 def rows_of(found: DataFrame, kind: str, schema: str) -> DataFrame:
     """The rows of one kind as they were told."""
     return found.where(F.col("kind") == kind).select(F.from_json("value", schema, JSON).alias("v")).select("v.*")
