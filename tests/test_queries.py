@@ -10,7 +10,7 @@ from tests.compare import compare, duck
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "d03_carry_forward", "d09_integrate_power", "c03_session_soc", "k09_k10_k11_charging_kpis", "h03_health_penalty", "g07_recompute_rankings",
-    "i01_i13_validate_batches", "i00_malformed", "i14_classify_batches", "s10_replace_rankings", "s14_raw_rows_to_batches", "d04_complete_deltas", "r07_batch_receipts", "q04_readiness", "q12_raw_with_events", "v01_check_violations",
+    "i01_i13_validate_batches", "i00_malformed", "i14_classify_batches", "s10_replace_rankings", "s14_raw_rows_to_batches", "d04_complete_deltas", "r07_batch_receipts", "q04_readiness", "q07_deep_page", "q12_raw_with_events", "v01_check_violations",
     "x11_to_observations", "x12_diagnostic_changes", "t02_dedupe_stream", "t03_sessions_stream", "e01_cohort_fallback",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
