@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from coverage_queries import streams as QS
 from tests.test_ingest import T0, batch, frame
 from voltlane import constants as C
 from voltlane.operators.kpis import drive_facts, drive_medians, facts_of, medians_of
@@ -57,6 +58,14 @@ def test_claims_outlive_micro_batches_and_restarts(spark, tmp_path):
     assert not os.listdir(f"{root}/tables/_work")
 
 
+def test_uploads_are_sent_by_as_many_tasks_as_they_have_partitions(spark, tmp_path):
+    ups = spark.range(400).select(F.concat(F.lit("v"), "id").alias("vehicle_uid"), F.lit("b").alias("batch_id")).repartition(7)
+    sent = QS._upload_folder(None, ups, f"{tmp_path}/a")
+    QS._send(ups, str(tmp_path), 1)
+    for path in (sent, f"{tmp_path}/uploads/wave1"):
+        assert sum(f.endswith(".json") for f in os.listdir(path)) == 7 and spark.read.json(path).count() == 400
+
+
 def test_only_hours_that_change_are_read_again(spark, tmp_path):
     """Late readings change their own hour and those that the carried state reaches; summaries equal a full pass at any time."""
     root, as_of = str(tmp_path), datetime(2024, 3, 1)
