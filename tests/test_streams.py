@@ -15,6 +15,7 @@ from voltlane.operators.sessions import charging_sessions
 from voltlane.sources import batches as B
 from voltlane.streaming import ingest as TI
 from voltlane.streaming import refresh as TR
+from voltlane.streaming import state as S
 
 EVENT = ("charging_session_start", T0, "s1", None)
 
@@ -58,6 +59,36 @@ def test_claims_outlive_micro_batches_and_restarts(spark, tmp_path):
     assert not os.listdir(f"{root}/tables/_work")
 
 
+def test_state_without_lifetime_tells_the_first_row_and_runs_no_processor(spark, tmp_path):
+    """Of a key the earliest row of the first trigger counts, also after a restart; only a lifetime needs the processor."""
+    root = str(tmp_path)
+    told = "kind string, id string, at bigint, value string"
+    os.makedirs(f"{root}/in")
+
+    def run(announce):
+        def write(df, epoch):
+            df.write.mode("overwrite").parquet(f"{root}/{announce}/epoch={epoch}")
+
+        with S.keyed_state(spark):
+            rows = spark.readStream.schema(told).parquet(f"{root}/in/*")
+            found = S.first_told(rows, announce)
+            assert "TransformWithState" not in found._jdf.queryExecution().analyzed().toString()
+            found.writeStream.foreachBatch(write).outputMode(S.output_mode(None)).option("checkpointLocation", f"{root}/c{announce}").trigger(
+                availableNow=True).start().awaitTermination()
+        return sorted((r.epoch, r.kind, r.value) for r in spark.read.parquet(f"{root}/{announce}").collect())
+
+    waves = [
+        [("k", "a", 5, "late"), ("k", "a", 3, "z"), ("k", "a", 3, "y"), ("k", "b", None, None)],
+        [("k", "a", 1, "too late"), ("k", "b", 9, "b"), ("k", None, 1, "n")],
+        [("k", "a", None, None), ("k", "b", 1, "no")],
+    ]
+    for i, wave in enumerate(waves):
+        spark.createDataFrame(wave, told).coalesce(1).write.parquet(f"{root}/in/w{i}")
+        once, known = run(True), run(False)
+    assert once == [(0, "k", "y"), (1, "k", "b"), (1, "k", "n")]
+    assert known == [(0, "k", "y"), (1, "k", "b"), (1, "k", "n"), (1, "k", "y"), (2, "k", "b"), (2, "k", "y")]
+
+
 def test_uploads_are_sent_by_as_many_tasks_as_they_have_partitions(spark, tmp_path):
     ups = spark.range(400).select(F.concat(F.lit("v"), "id").alias("vehicle_uid"), F.lit("b").alias("batch_id")).repartition(7)
     sent = QS._upload_folder(None, ups, f"{tmp_path}/a")
