@@ -308,3 +308,33 @@ def test_pages_of_an_order_are_read_from_their_ranges(spark):
 def test_pages_of_no_rows(spark):
     index = PageIndex.write(spark.createDataFrame([], "a long, b string"), ["a", "b"])
     assert index.size() == 0 and index.page(0, 10).collect() == [] and index.page(0, 10).columns == ["a", "b"]
+
+
+def _median_rows():
+    rng = random.Random(6)
+    rows = [(k, rng.choice([rng.gauss(0, 50), 7.5, -0.0]), [t for t in ("a", "b") if rng.random() < 0.7]) for k in hot(rng, 1200)]
+    return [*rows, (None, 1.0, ["a"]), ("z", -0.0, ["a"]), ("z", 0.0, ["b"]), ("nan", float("nan"), ["a"])]
+
+
+@pytest.mark.parametrize("labels", [None, "l"])
+def test_median_is_the_same_by_sort_and_by_digits(spark, labels):
+    df = spark.createDataFrame(_median_rows(), "k string, v double, l array<string>")
+    cells = lambda large: sorted(map(str, exact_median(df, ["k"], "v", labels=labels, large=large).collect()))
+    by_digits = cells(0)
+    assert by_digits and by_digits == cells(100) == cells(10_000) and not any("None" in c or "nan" in c for c in by_digits)
+
+
+def test_median_of_small_keys_takes_one_shuffle_of_the_values(spark):
+    df = spark.createDataFrame(_median_rows(), "k string, v double, l array<string>")
+    plan = exact_median(df, ["k"], "v", labels="l")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_blocks_of_windows_are_computed_once(spark):
+    windows = spark.createDataFrame([("v1", "s1", START, START + timedelta(days=40))], "vehicle_uid string, session_id string, started_at timestamp, ended_at timestamp")
+    obs = spark.createDataFrame(
+        [("v1", f"o{i}", C.SOC, 50.0, None, START + timedelta(days=i), START) for i in range(45)],
+        "vehicle_uid string, observation_id string, signal_key string, value_number double, value_string string, observed_at timestamp, ingested_at timestamp",
+    )
+    got = observations_in_windows(obs, windows, AS_OF)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 41
