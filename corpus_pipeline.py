@@ -4,6 +4,8 @@ Every stage gets all documents that the one before kept and hands on those it ke
 the last adds nothing to a document's identity but its tokens and its position in the mix and drops its text. Stages are written as Parquet in the
 shared folder and read again, so a lost executor repeats one stage at most.
 
+Stages that hand whole texts to Python do so in small batches: the setting holds for the session from then on.
+
 Rows with null, empty or blank text are rejected by the first stage, as they have fewer than ten words. Extra columns
 are not handed on. An empty table gives an empty table at every stage.
 """
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlane.llm import bpe, minhash_dedup, mixing, quality_rules, toxicity
-from voltlane.llm.common import DOCUMENT_COLUMNS, Stages, table
+from voltlane.llm.common import DOCUMENT_COLUMNS, Stages, small_batches, table
 
 #: A document is toxic from this score on.
 TOXIC = 0.7
@@ -27,12 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic (operator 7), by the lexicon learned from the labelled documents."""
+    small_batches(spark)
     scored, score = toxicity.score_toxicity(docs.select(*DOCUMENT_COLUMNS), toxicity.learned(spark, sf_dir))
     return scored.where(F.col(score) < TOXIC).select(*DOCUMENT_COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (operator 10), the one with the smallest id."""
+    small_batches(spark)
     return minhash_dedup.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
@@ -46,6 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document (operator 6), with its position in the order of training."""
+    small_batches(spark)
     placed, position = mixing.with_written_position(docs)
     return bpe.digests(placed.select("doc_id", "text", "lang", "source", position))
 

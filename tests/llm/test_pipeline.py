@@ -1,12 +1,14 @@
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as p
 from tests.compare import duck
 from tests.llm.test_minhash_dedup import brute
-from voltlane.llm import bpe, mixing, toxicity
-from voltlane.llm.common import SQL, Stages, remainder
+from voltlane.llm import bpe, minhash_dedup, mixing, toxicity
+from voltlane.llm.common import BATCH_ROWS, SQL, Stages, remainder
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,30 @@ def test_last_stage_gives_every_document_its_position_in_the_mix(spark):
     assert len(written.inputFiles()) > 1
     for mix in (written, p.mixed(spark, docs, "")):
         assert {r.doc_id: r.position for r in p.tokens(spark, mix, "").collect()} == expected
+
+
+@pytest.mark.parametrize(("given", "held"), [("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("50", 50)])
+def test_stages_with_python_get_small_batches(spark, given, held):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "src", i) for i in range(5_000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.conf.set(setting, given)
+    try:
+        p.distinct(spark, docs, "")
+        counts = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r.n for r in counts.collect()) == held
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_signing_and_its_buffers_are_small_beside_the_batch():
+    rows = 2_000
+    text = " ".join(f"w{i}" for i in range(400))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(rows)), "h": [0] * rows, "g": [0] * rows, "text": [f"{i} {text}" for i in range(rows)]})
+    list(minhash_dedup.sign([batch.slice(0, 2)]))
+    tracemalloc.start()
+    try:
+        signed = sum(b.num_rows for b in minhash_dedup.sign([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert signed == rows and peak < 50_000_000

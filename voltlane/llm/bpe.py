@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from voltlane.llm.common import col, fresh, register, slices, table, with_fields
+from voltlane.llm.common import col, fresh, register, slices, table, tidy, with_fields
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of a segment; longer texts are cut.
@@ -217,7 +217,7 @@ def encode_and_decode(df: DataFrame, text: str = "text", vocabulary: str = VOCAB
     whole = leaves.groupBy(key).applyInPandas(tree, f"{key} string, {ids} array<int>, {decoded} string")
     names = [col(c) for c in df.columns]
     joined = rows.join(whole, key).select(*names, col(ids), col(decoded))
-    return df.where(~long_text).mapInArrow(short, schema).unionByName(joined), ids, decoded
+    return df.where(~long_text).mapInArrow(tidy(short), schema).unionByName(joined), ids, decoded
 
 
 def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, segment: int = SEGMENT) -> tuple[DataFrame, str]:

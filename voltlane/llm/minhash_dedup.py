@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlane.functions.sizes import broadcast_if_small
-from voltlane.llm.common import Stages, col, register, slices, table
+from voltlane.llm.common import Stages, col, register, slices, table, tidy
 from voltlane.llm.components import connected_components
 from voltlane.llm.embedding_dedup import forest
 from voltlane.llm.words import chunks, mix, windows
@@ -41,6 +41,8 @@ PLACES = BANDS * ROWS
 NEAR = 0.65
 #: Documents, and words, of one block of a bucket or group.
 BLOCK, BLOCK_WORDS = 1_000, 2_000_000
+#: Bytes of text that are signed, or made multisets, at once; what is computed meanwhile takes some 40 times as much.
+SIGN_BYTES = 500_000
 #: Rows up to which the list of documents to verify is broadcast; a longer one is joined by shuffle.
 SENT_ROWS = 200_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)]
@@ -172,24 +174,26 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
 
 
+def sign(batches) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h, g, text) with the number of words and the signature in place of the text."""
+    for batch in batches:
+        for chunk in chunks(batch.column("text"), limit=SIGN_BYTES):
+            found = bag(*windows(chunk.hashes, chunk.per_text, SHINGLE))
+            times = signatures(*found, chunk.rows)
+            filled = np.isfinite(times[:, 0])
+            rows = batch.slice(chunk.first, chunk.rows)
+            signature = [d.tobytes() if f else None for d, f in zip(digests(times), filled, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(chunk.per_text, pa.int64()), pa.array(signature, pa.binary())], names=["id", "h", "g", "words", "signature"])
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, stages: Stages | None = None) -> DataFrame:
     """(key, class_id, kept) of every row; class_id is the smallest key of the row's class, kept whether that is its own."""
     stages = stages or Stages(df.sparkSession, "minhash")
     docs = df.select(col(key).alias("id"), col(text).alias("text"))
     hashed = docs.select("id", F.when(col("text").isNotNull(), F.xxhash64("text")).alias("h"), F.when(col("text").isNotNull(), F.xxhash64(F.lit(7), "text")).alias("g"), "text")
 
-    def sign(batches):
-        for batch in batches:
-            for chunk in chunks(batch.column("text")):
-                found = bag(*windows(chunk.hashes, chunk.per_text, SHINGLE))
-                times = signatures(*found, chunk.rows)
-                filled = np.isfinite(times[:, 0])
-                rows = batch.slice(chunk.first, chunk.rows)
-                signature = [d.tobytes() if f else None for d, f in zip(digests(times), filled, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(chunk.per_text, pa.int64()), pa.array(signature, pa.binary())], names=["id", "h", "g", "words", "signature"])
-
     id_type = df.schema[key].dataType.simpleString()
-    signed = stages(hashed.mapInArrow(sign, f"id {id_type}, h bigint, g bigint, words bigint, signature binary"), "signed")
+    signed = stages(hashed.mapInArrow(tidy(sign), f"id {id_type}, h bigint, g bigint, words bigint, signature binary"), "signed")
     # Rows of one text, then rows of one id: the smallest id stands for them.
     classes = signed.where("h is not null").groupBy("h", "g").agg(F.min("id").alias("rep"))
     first = stages(signed.select("id", "h", "g", "words", "signature").join(classes, ["h", "g"]), "classes")
@@ -229,7 +233,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
             within = group.column("first")[0] == group.column("second")[0]
             i, j, score = candidate_pairs(matrix(group.column("signature")), group.column("side").to_numpy(), within)
             bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for chunk in chunks(group.column("text")):
+            for chunk in chunks(group.column("text"), limit=SIGN_BYTES):
                 hashes, owners, counts = bag(*windows(chunk.hashes, chunk.per_text, SHINGLE))
                 cuts = np.searchsorted(owners, np.arange(chunk.rows + 1))
                 bags.update({chunk.first + r: (hashes[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]) for r in range(chunk.rows)})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import Stages, col, fresh, register, remainder, slices, table, with_fields
+from voltlane.llm.common import Stages, col, fresh, register, remainder, slices, table, tidy, with_fields
 
 MOST_LABELLED = 8_000
 MOST_TERMS = 2_000
@@ -318,7 +318,7 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text") -> tuple
                 scores = [score_of(t, matcher, lexicon) for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(score, schema), name
+    return df.mapInArrow(tidy(score), schema), name
 
 
 def learned(spark: SparkSession, sf_dir: str) -> Lexicon:
