@@ -9,6 +9,8 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from coverage_queries import kpis  # noqa: F401
+from coverage_queries.base import QUERIES
 from voltlane import constants as C
 from voltlane.functions.scalars import timeframes
 from voltlane.operators import series as S
@@ -338,3 +340,32 @@ def test_blocks_of_windows_are_computed_once(spark):
     )
     got = observations_in_windows(obs, windows, AS_OF)
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 41
+
+
+def test_readings_of_drive_steps_are_scanned_and_dealt_once(spark, tmp_path):
+    """The state of earlier buckets and the steps inside them come from one exchange; rows without a vehicle or instant have no steps."""
+    at = datetime(2024, 1, 1)
+    rows = [(f"v{i % 3}", at + timedelta(minutes=7 * i), key, float(i), at, f"{i}-{key}") for i in range(60) for key in (C.ODOMETER, C.SOC)]
+    rows += [(None, at, C.SOC, 1.0, at, "a"), ("v0", None, C.SOC, 1.0, at, "b")]
+    spark.createDataFrame(rows, "vehicle_uid string, observed_at timestamp_ntz, signal_key string, value_number double, ingested_at timestamp_ntz, observation_id string").write.parquet(f"{tmp_path}/obs")
+    steps = S.carry_forward(S.pivot_snapshots(spark.read.parquet(f"{tmp_path}/obs"), {"odo": C.ODOMETER, "soc": C.SOC}), ["odo", "soc"])
+    found = steps.collect()
+    assert len(found) == 60 and sum(r.prev_odo is None for r in found) == 3
+    final = steps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
+def test_scoring_reads_written_kpis(spark, tmp_path):
+    """Neither medians nor readings are worked out again for the newest instants of the KPIs and for the rows that carry them."""
+    events = [(i, START + timedelta(hours=i), i % 2, ("view", "error", "click", "purchase")[i // 2 % 4], 5.0 + i, f'{{"k": {i % 7}}}') for i in range(160)]
+    tables = {
+        "events": (events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+        "customer": ([(i, f"c{i}", 1, 0.0, "BUILDING") for i in range(2)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(1, "n", 2)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(2, "r")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    scored = QUERIES["g03_score_vehicles"](spark, str(tmp_path))
+    assert {r.vehicle_uid for r in scored.collect()} == {"veh-0", "veh-1"}
+    # medians are taken of ranks in a window; where the KPIs are written, none is left in the plan
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
