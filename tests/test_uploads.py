@@ -51,7 +51,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["i14_i15_accept_batches"])
+@pytest.mark.parametrize("name", ["i14_i15_accept_batches", "r07_batch_receipts"])
 def test_readings_are_derived_once_a_query(spark, tables, name, monkeypatch):
     derived, made = base.A.observations, []
     monkeypatch.setattr(base.A, "observations", lambda *a: made.append(a) or derived(*a))
