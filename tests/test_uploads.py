@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverage_queries import base, ingest
+from voltlane.functions.sizes import broadcast_if_small
 from voltlane.operators import ingest as I
+from voltlane.sources import batches as B
 
 from .compare import compare
 from .test_ingest import raw
@@ -67,3 +69,20 @@ def test_written_tables_are_kept_by_query(spark, tables):
     s = base.Source(spark, tables)
     assert ingest.written_uploads(s) is ingest.written_uploads(s)
     assert ingest.written_uploads(base.Source(spark, tables)) is not ingest.written_uploads(s)
+
+
+def test_facts_of_batch_ids_are_never_broadcast(spark):
+    """Behind a JSON text Spark takes the uploads for far smaller than they are."""
+    ups = B.parse_batches(I.batches_to_json(I.raw_rows_to_batches(raw(spark, 100)))).withColumns({
+        "user_id": F.lit("u"), "received_at": F.col("capture_window.ended_at"), "arrival_id": F.col("batch_id")})
+    again = ups.unionByName(ups.withColumn("arrival_id", F.concat("batch_id", F.lit("/2"))))
+    got = I.classify_batches(again, I.ledger_rows(ups.where(F.col("batch_id") == "b")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.arrival_id, r.outcome) for r in got.collect()) == [
+        (I.NO_BATCH, "fresh"), (f"{I.NO_BATCH}/2", "duplicate"), ("b", "duplicate"), ("b/2", "duplicate")]
+
+
+def test_beyond_its_bound_a_counted_table_is_shuffled(spark):
+    few, other = spark.range(10), spark.range(20)
+    assert "BroadcastHashJoin" in other.join(broadcast_if_small(few, 10), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in other.join(broadcast_if_small(few, 9), "id")._jdf.queryExecution().executedPlan().toString()
