@@ -1,6 +1,7 @@
 """Keyed state of the ingest, and the incremental refresh."""
 
 import os
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from coverage_queries import streams as QS
 from tests.test_ingest import T0, batch, frame
 from voltlane import constants as C
+from voltlane.operators import kpis as K
+from voltlane.operators import rankings as R
 from voltlane.operators.kpis import drive_facts, drive_medians, facts_of, medians_of
 from voltlane.operators.series import BUCKET_SECONDS, SLOT, drive_steps, labelled_points
 from voltlane.functions.scalars import timeframes
@@ -172,3 +175,37 @@ def test_sessions_come_from_kept_windows_and_few_days(spark, tmp_path):
     d = lambda n: day(n).date()
     assert TR.days_of(windows, day(12)) == [(d(1), d(1)), (d(9), d(12))]
     assert TR.days_of(windows, day(12), most=1) == [(d(1), d(12))] and TR.days_of(windows.limit(0), day(12)) == []
+
+
+def test_vehicles_of_cohorts_are_never_broadcast_uncounted(spark, tmp_path, monkeypatch):
+    """Written catalogs and keys are small files with many rows, so a join of theirs is broadcast by count only."""
+    as_of, root, plans = datetime(2024, 3, 1), str(tmp_path), {}
+    vehicles = spark.createDataFrame(
+        [(f"v{i}", "a" if i % 2 else "b", None, None, 2022) for i in range(6)], "vehicle_uid string, make string, model string, trim string, model_year bigint")
+    cell = lambda v, key, value, bin_: (v, "30d", key, value, "score", "higher_is_better", 60, bin_, None, None)
+    schema = "vehicle_uid string, timeframe string, kpi_key string, kpi_value double, kpi_unit string, direction string, sample_count bigint, temperature_bin string, baseline_temperature_bin string, compare_temperature_bin string"
+    uids = [f"v{i}" for i in range(6)]
+    scores = [cell(v, "charging_performance_score", 10.0 * i, "all") for i, v in enumerate(uids)]
+    kept = [cell(v, key, 50.0 + i, "cold") for i, v in enumerate(uids) for key in ("cold_weather_range_retention", "cold_weather_charge_speed_retention")]
+    K.stamp_kpi_rows(spark.createDataFrame(scores, schema), C.CHARGING, as_of).unionByName(
+        K.stamp_kpi_rows(spark.createDataFrame(kept, schema), C.TEMPERATURE, as_of)).write.parquet(f"{root}/kpis/epoch=0")
+    vehicles.select("vehicle_uid").write.parquet(f"{root}/refreshed/epoch=0")
+    vehicles.write.parquet(f"{root}/catalog")
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def stage(df, name):
+        plans[name] = plan_of(df)
+        df.write.parquet(f"{root}/work/{name}")
+        return spark.read.parquet(f"{root}/work/{name}")
+
+    counted = TR.broadcast_if_small
+    monkeypatch.setattr(TR, "broadcast_if_small", lambda df: counted(df, 0))
+    catalog = spark.read.parquet(f"{root}/catalog")
+    TR._rank_cohorts_of(catalog.where(F.col("make") == "a"), 0, root, catalog, as_of, 1, False, stage)
+    assert set(plans) == {"cohorts", "members", "member_kpis"} and not any("BroadcastHashJoin" in p for p in plans.values())
+    got = sorted((r.ranking_type, r.temperature_bin, r.vehicle_uid, r.rank_position) for r in TR.read_rankings(spark, root).collect())
+    order = [("v1", 3), ("v3", 2), ("v5", 1)]
+    assert got == [(C.CHARGING, "all", v, n) for v, n in order] + [(C.TEMPERATURE, b, v, n) for b in ("all", "cold") for v, n in order]
+    kpis = spark.read.parquet(f"{root}/work/member_kpis")
+    for scored in (R.score_vehicles(kpis, catalog), R.temperature_seeds(catalog, kpis)):
+        assert re.search(r"SortMergeJoin \[vehicle_uid#\d+\]", plan_of(scored))
