@@ -2,7 +2,9 @@
 
 import os
 import re
+import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from voltlane.operators.kpis import drive_facts, drive_medians, facts_of, median
 from voltlane.operators.series import BUCKET_SECONDS, SLOT, drive_steps, labelled_points
 from voltlane.functions.scalars import timeframes
 from voltlane.operators.sessions import charging_sessions
+from voltlane.session import SHUFFLE_CLEANUP, shuffles_end
 from voltlane.sources import batches as B
 from voltlane.streaming import ingest as TI
 from voltlane.streaming import refresh as TR
@@ -209,3 +212,30 @@ def test_vehicles_of_cohorts_are_never_broadcast_uncounted(spark, tmp_path, monk
     kpis = spark.read.parquet(f"{root}/work/member_kpis")
     for scored in (R.score_vehicles(kpis, catalog), R.temperature_seeds(catalog, kpis)):
         assert re.search(r"SortMergeJoin \[vehicle_uid#\d+\]", plan_of(scored))
+
+
+def test_stored_waves_leave_no_text(spark, tmp_path):
+    """Disk holds the text of one wave at a time."""
+    root = str(tmp_path)
+    job = TI.Ingest(QS._wave_stream(SimpleNamespace(spark=spark), root), f"{root}/tables", B.registry(spark), f"{root}/checkpoint")
+    rows = [batch(f"b{i}", f"v{i}", f"u{i}", 0, "", session_events=[EVENT]) for i in range(20)]
+    QS._send(frame(spark, rows).withColumn("m", F.lit(0)), root, 1)
+    left = lambda: [f for f in os.listdir(f"{root}/uploads/wave1") if f.endswith(".json")]
+    assert left()
+    job.drain()
+    for _ in range(100):  # the files go in a thread of the stream's own
+        if not left():
+            break
+        time.sleep(0.2)
+    job.stop()
+    assert not left() and job.table("receipts").where(~F.col("duplicate")).count() == 20
+
+
+def test_shuffles_end_with_what_was_written(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for top in disk.localDirsString() for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, kept = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    with shuffles_end(spark):
+        spark.range(1_000).repartition(5, "id").write.parquet(f"{tmp_path}/rows")
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == kept
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 1_000
